@@ -8,6 +8,7 @@ n-grams' rows and adding them up per text.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -15,14 +16,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import table
 
 COLUMNS, ORDERS = 1 << 16, (1, 2, 3)
-#: The bounded sample the model is fitted on: so many labelled documents a language, those whose
-#: id has the smallest hash. A language of fewer documents gives all of them.
+#: The bounded sample the model is fitted on: about so many labelled documents a language, by a hash
+#: of their id. A language of fewer documents gives all of them.
 FIT_DOCUMENTS = 2_000
 #: Most languages of a model; the matrix then has LANGUAGES x COLUMNS x 4 bytes = 64 MB at most.
 LANGUAGES = 256
@@ -85,16 +86,15 @@ def in_fold(doc_id, fold: int = 2, folds: int = 4):
 
 
 def fit(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> Model:
-    """A model from labelled docs (doc_id, text, lang): per language, the fit_documents rows of the
-    smallest hash of doc_id. Rows without language or letters are left out."""
+    """A model from labelled docs (doc_id, text, lang): per language, the rows whose hash of doc_id is in
+    the share that gives fit_documents rows. Rows without language or letters are left out."""
     labelled = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    # the sample's ids come from two narrow columns; a language's rows meet in shares first, then in one group of fixed size
-    ids = labelled.select("doc_id", "lang").withColumn("_h", F.xxhash64("doc_id")).withColumn("_share", F.pmod("_h", F.lit(64)))
-    few = ids.withColumn("_r", F.row_number().over(Window.partitionBy("lang", "_share").orderBy("_h", "doc_id"))).where(F.col("_r") <= fit_documents)
-    few = few.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_r") <= fit_documents)
-    names = [r[0] for r in few.select("lang").distinct().orderBy("lang").limit(LANGUAGES + 1).collect()]
-    if len(names) > LANGUAGES:
+    # the shares come from one narrow column, summed before they are shuffled
+    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
+    cuts = [(lang, min(1 << 31, math.ceil(fit_documents / n * (1 << 31)))) for lang, n in sizes.items()]
+    cuts = F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, cut long"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list] = {}
@@ -106,7 +106,7 @@ def fit(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> Model:
                     own[1] += np.bincount(columns(known), minlength=COLUMNS)
         yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([zlib.compress(v[1].tobytes(), 1) for v in found.values()], pa.binary())], ["lang", "docs", "grams"])
 
-    sample = labelled.join(F.broadcast(few.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi").select("text", "lang")
+    sample = labelled.join(cuts, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < F.col("cut")).select("text", "lang")
     counts: dict[str, tuple[int, np.ndarray]] = {}
     # at most LANGUAGES rows of compressed counts a task; the sample has a fixed size, and so have its counts
     for lang, n, grams in sample.coalesce(4).mapInArrow(count, "lang string, docs long, grams binary").toLocalIterator():
