@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import table
@@ -134,6 +134,18 @@ def language_id(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), in_fold("doc_id").alias("held_out"), "text").mapInArrow(run, PREDICTED)
 
 
+def language_of(model: Model, text: Column) -> Column:
+    """The predicted language as a column, for plans that keep all other columns of a row."""
+    shared = SparkSession.active().sparkContext.broadcast(model)
+
+    @F.arrow_udf("string")
+    def predicted(texts: pa.Array) -> pa.Array:
+        predict = shared.value.predict
+        return pa.array([predict(t)[0] for t in texts.to_pylist()], pa.string())
+
+    return predicted(text)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id(docs, fit(docs.where(~in_fold("doc_id"))))
