@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import saved, shuffle_width, table
-from rasterloom.llm.word_bpe import ID, WordIds
+from rasterloom.llm.word_bpe import ID, word_ids
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
@@ -148,7 +148,7 @@ def document_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 1)
     """doc_id, piece, start, length, ids_crc32 of the pieces of at most capacity ids that docs are cut into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = WordIds(path), np.array([end_id], ID).tobytes()
+        words, end = word_ids(path), np.array([end_id], ID).tobytes()
         for batch in batches:
             rows = []
             texts = [t or "" for t in batch.column(1).to_pylist()]
