@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import scratch_path, shuffle_width, table
-from rasterloom.llm.word_bpe import ID, WordIds
+from rasterloom.llm.word_bpe import ID, word_ids
 
 SHARD = (
     "part int, shard int, n_tokens long, doc_ids array<long>, tokens array<long>, symbols array<long>, "
@@ -39,6 +39,10 @@ SHARD_IDS = 1 << 20
 ROUNDS, RULES, LEAST = 6, 1 << 14, 8
 
 
+def hashed(pair: np.ndarray) -> np.ndarray:
+    return (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46)).astype(np.int32)
+
+
 def compressed(ids: np.ndarray, lengths: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first_rule, left, right, spans, sequence, symbols by document) of the ids of documents of these lengths."""
     seq = ids.astype(np.int64)
@@ -58,9 +62,11 @@ def compressed(ids: np.ndarray, lengths: np.ndarray) -> tuple[int, np.ndarray, n
             break
         often = often[np.lexsort((keys[edge[often]], -counts[often]))][:RULES]
         rules = np.sort(keys[edge[often]])
-        at = np.searchsorted(rules, pair)
-        at[at == len(rules)] = 0
-        hit = np.flatnonzero(inside & (rules[at] == pair))
+        # rules by a hash table without chains; a rule that loses its slot waits for a later round
+        slots = np.full(1 << 18, -1, np.int32)
+        slots[hashed(rules)] = np.arange(len(rules), dtype=np.int32)
+        at = slots[hashed(pair)]
+        hit = np.flatnonzero(inside & (at >= 0) & (rules[at] == pair))
         # of hits that overlap, every second one of a run is taken, from its first
         run = np.r_[True, np.diff(hit) > 1]
         starts = np.flatnonzero(run)
@@ -117,7 +123,7 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 1, shard_ids:
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = WordIds(path), np.array([end_id], ID).tobytes()
+        words, end = word_ids(path), np.array([end_id], ID).tobytes()
         held: list[tuple[int | None, bytes]] = []
         size, part, shard = 0, 0, 0
 
