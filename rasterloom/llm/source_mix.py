@@ -148,7 +148,8 @@ def source_mix(docs: DataFrame, weights=(1.0, 2.0, 3.0), most: float = 3.0, bloc
         )
     )
     key = F.struct("source_no", "bucket", "row_key").alias("row_key")
-    mix = slots.join(parts, ["source_no", "block"]).select("shard", "slot", key, "doc_id", "first_word", "n_words")
+    # a sort-merge join: the size of slots, listed from few runs, is not what the planner takes it for
+    mix = slots.join(parts.hint("merge"), ["source_no", "block"]).select("shard", "slot", key, "doc_id", "first_word", "n_words")
     return documents.select("doc_id", "size", "source_size", "target", key), mix
 
 
