@@ -10,15 +10,24 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 
+from rasterloom.llm.token_counts import byte_symbols
+
 #: Parts in a worker's table, and the longest part kept there.
 KEPT_PARTS, KEPT_CHARS = 800_000, 64
 #: Parts that the library gets in one call, and the character that stands between them.
 TOGETHER, MARK = 2_000, "\x01"
 ID = np.dtype("<u4")
+# Fixed value: the split pattern of the vocabularies whose Latin words are encoded without the steps before the model.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A word of Latin-1 letters and the stops after it. Such letters compose with nothing here, lower-case
+#: one by one, and are one piece of the text; so are the stops.
+LATIN = re.compile(r"([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?]*)").fullmatch
 
 
 def parts_are_free(path: str) -> bool:
@@ -34,6 +43,16 @@ def parts_are_free(path: str) -> bool:
     return bool(drops and plain and norms <= {"NFC", "Replace", "Lowercase"})
 
 
+def latin_is_plain(path: str) -> bool:
+    """Whether a Latin word's ids are those that the model gives its lower-case bytes."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    norms = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    plain = all(not LATIN(t["content"]) for t in spec["added_tokens"])
+    return plain and sorted(norms) == ["Lowercase", "NFC", "Replace"] and len(steps) == 2 and steps[0].get("pattern") == {"Regex": WORDS} and steps[1].get("type") == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+
+
 class WordIds:
     """ids(texts) gives each text's ids as little-endian 32-bit bytes."""
 
@@ -45,6 +64,9 @@ class WordIds:
         self.known: dict[str, bytes] = {"": b""}
         mark = self.library.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        self.latin = self.free and latin_is_plain(path)
+        symbols = byte_symbols()
+        self.symbols = {i: "".join(symbols[b] for b in chr(i).encode()) for i in range(256)}
 
     def encoded(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, ID).tobytes()
@@ -62,6 +84,19 @@ class WordIds:
             out += [data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)]
         return out
 
+    def latin_encoded(self, parts: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """The ids of those parts that are Latin words with or without stops; and of the words alone."""
+        words: dict[str, bytes] = {}
+        tokens, symbols, known = self.library.model.tokenize, self.symbols, self.known
+        for part in parts:
+            if found := LATIN(part):
+                word, stops = found[1].lower(), found[2]
+                for piece in (word, stops):
+                    if piece not in known and piece not in words:
+                        words[piece] = np.array([t.id for t in tokens(piece.translate(symbols))], ID).tobytes()
+                yield part, (words[word] if word in words else known[word]) + (words[stops] if stops in words else known[stops])
+        yield from words.items()
+
     def ids(self, texts: list[str]) -> list[bytes]:
         if not self.free:
             return [self.encoded(t) for t in texts]
@@ -72,7 +107,9 @@ class WordIds:
             if len(self.known) + len(new) > KEPT_PARTS:
                 self.known = {"": b""}
                 new = dict.fromkeys(p for parts in some for p in parts if p)
-            known, found = self.known, dict(zip(new, self.parts_encoded(list(new))))
+            known, found = self.known, dict(self.latin_encoded(new)) if self.latin else {}
+            rest = [p for p in new if p not in found]
+            found.update(zip(rest, self.parts_encoded(rest)))
             known.update(found)
             out += [b"".join([known[p] for p in parts]) for parts in some]
             for p in found:
