@@ -40,7 +40,7 @@ ROUNDS, RULES, LEAST = 6, 1 << 14, 8
 
 
 def hashed(pair: np.ndarray) -> np.ndarray:
-    return (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46)).astype(np.int32)
+    return (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int32)
 
 
 def compressed(ids: np.ndarray, lengths: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -54,7 +54,9 @@ def compressed(ids: np.ndarray, lengths: np.ndarray) -> tuple[int, np.ndarray, n
             break
         pair = seq[:-1] * (1 << 32) + seq[1:]
         inside = doc[:-1] == doc[1:]
-        keys = np.sort(pair[inside])
+        slot = hashed(pair)
+        # a pair of a slot that is hit less than LEAST times is not frequent and need not be sorted
+        keys = np.sort(pair[inside & (np.bincount(slot, minlength=1 << 20)[slot] >= LEAST)])
         edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
         counts = np.diff(np.r_[edge, len(keys)])
         often = np.flatnonzero(counts >= LEAST)
@@ -63,9 +65,9 @@ def compressed(ids: np.ndarray, lengths: np.ndarray) -> tuple[int, np.ndarray, n
         often = often[np.lexsort((keys[edge[often]], -counts[often]))][:RULES]
         rules = np.sort(keys[edge[often]])
         # rules by a hash table without chains; a rule that loses its slot waits for a later round
-        slots = np.full(1 << 18, -1, np.int32)
+        slots = np.full(1 << 20, -1, np.int32)
         slots[hashed(rules)] = np.arange(len(rules), dtype=np.int32)
-        at = slots[hashed(pair)]
+        at = slots[slot]
         hit = np.flatnonzero(inside & (at >= 0) & (rules[at] == pair))
         # of hits that overlap, every second one of a run is taken, from its first
         run = np.r_[True, np.diff(hit) > 1]
