@@ -72,6 +72,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, query_rows: i
     A candidate of the query's own vec_id is left out. Ties go to the smaller vec_id. Null vectors
     and null ids take no part; vectors meet only vectors of their own length. Repeated rows of one
     vec_id count once if they are equal, and else each for itself. Empty tables give an empty result.
+    Scores have to fit in 64 bits.
     """
     spark = vectors.sparkSession
     clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), "v").where("vec_id is not null and v is not null").distinct()

@@ -161,12 +161,12 @@ def cells_of(classes: DataFrame, shard: int, least: float) -> DataFrame:
         def split(batches):
             for batch in batches:
                 cells, n = np.array(batch.column("cell").to_pylist(), object), batch.column("n").to_numpy()
-                v, ids = vectors_of(batch), batch.column("vec_id").to_numpy()
+                ids = batch.column("vec_id").to_numpy()
                 for cell in dict.fromkeys(cells):
                     at = np.flatnonzero(cells == cell)
                     near = apart(np.array(batch.column("pivots")[int(at[0])].as_py()), least - 0.1)
                     if len(near) > 1:
-                        two = np.argsort(-(v[at] @ near.T), axis=1)[:, :2]
+                        two = np.argsort(-(vectors_of(batch.take(pa.array(at))) @ near.T), axis=1)[:, :2]
                         rows, names = np.repeat(at, 2), [f"{cell}.{k}" for k in two.ravel()]
                     else:
                         blocks = int(-(-3 * n[at[0]] // shard))
@@ -228,11 +228,13 @@ def audited(classes: DataFrame, counted: DataFrame, least: float) -> float:
 
     def count(batches):
         for batch in batches:
-            v, times, cell = vectors_of(batch), batch.column("times").to_numpy(), np.array(batch.column("cell").to_pylist())
-            for i, (own, q) in enumerate(queries.value):
-                same = cell == own
-                if same.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([int(times[same][v[same] @ q >= least].sum())])], ["i", "n"])
+            cells, times = np.array(batch.column("cell").to_pylist(), object), batch.column("times").to_numpy()
+            for cell in dict.fromkeys(own for own, _ in queries.value):
+                at = np.flatnonzero(cells == cell)
+                if len(at):  # vectors of a cell have one length
+                    v = vectors_of(batch.take(pa.array(at)))
+                    n = {i: int(times[at][v @ q >= least].sum()) for i, (own, q) in enumerate(queries.value) if own == cell}
+                    yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], ["i", "n"])
 
     there = {r[0]: r[1] for r in classes.select("cell", "v", "times").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n")).collect()}
     true = sum(there.get(i, 0) - r["times"] for i, r in enumerate(rows))
