@@ -14,7 +14,6 @@ from rasterloom.operators.grid import at, filtered, listed, restored, scrambled,
 
 SIDE = 8
 KEY = b"demo key"
-LINES = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 PX = """px AS (SELECT vec_id, cast(i - 1 AS INTEGER) AS idx,
@@ -44,8 +43,12 @@ def grid_pixels(spark, d):
     return listed(grids(spark, d), F.col("g"), "vec_id").select("vec_id", "idx", (F.col("idx") % SIDE).alias("x"), F.expr("cast(idx div 8 AS int)").alias("y"), "v")
 
 
+def lines():
+    return W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+
+
 def differences(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "lineitem").withColumn("diff", (F.col("l_quantity") - F.lag("l_quantity", 1, 0).over(LINES)).cast("long"))
+    return read(spark, d, "lineitem").withColumn("diff", (F.col("l_quantity") - F.lag("l_quantity", 1, 0).over(lines())).cast("long"))
 
 
 def roundtrip(spark, d, mode="pixel", block=0):
@@ -205,7 +208,7 @@ def dc_difference(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, cast(l_quantity AS BIGINT) AS dc FROM lineitem")
 def dc_restore(spark, d):
-    return differences(spark, d).select("l_orderkey", "l_linenumber", F.sum("diff").over(LINES.rowsBetween(W.unboundedPreceding, 0)).alias("dc"))
+    return differences(spark, d).select("l_orderkey", "l_linenumber", F.sum("diff").over(lines().rowsBetween(W.unboundedPreceding, 0)).alias("dc"))
 
 
 @query(f"WITH {PX}, z AS (SELECT vec_id, idx, v // 64 - 2 AS q FROM px), s AS (SELECT vec_id, idx, q, max(CASE WHEN q <> 0 THEN idx END) OVER (PARTITION BY vec_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM z) SELECT vec_id, idx, cast(q AS INTEGER) AS q, cast(idx - coalesce(before, -1) - 1 AS INTEGER) AS run FROM s WHERE q <> 0")
