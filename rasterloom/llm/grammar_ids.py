@@ -73,8 +73,9 @@ def compressed(ids: np.ndarray, lengths: np.ndarray) -> tuple[int, np.ndarray, n
         run = np.r_[True, np.diff(hit) > 1]
         starts = np.flatnonzero(run)
         hit = hit[(np.arange(len(hit)) - starts[np.cumsum(run) - 1]) % 2 == 0]
-        used, new = np.unique(at[hit], return_inverse=True)
-        seq[hit] = top + new
+        times = np.bincount(at[hit], minlength=len(rules))
+        used = np.flatnonzero(times)
+        seq[hit] = top + (np.cumsum(times > 0) - 1)[at[hit]]
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
         seq, doc = seq[keep], doc[keep]
