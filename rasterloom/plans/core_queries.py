@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions.keys import TRANSFORMS
 from rasterloom.operators.grid import at, filtered, listed, restored, scrambled, with_layout
+from rasterloom.sources.png import ADAM7
 
 SIDE = 8
 KEY = b"demo key"
@@ -145,8 +146,6 @@ def png_unfilter_up(spark, d):
     return listed(f, F.expr("transform(f, (v, i) -> cast(aggregate(transform(sequence(0, cast(i div 8 AS int)), y -> f[y * 8 + i % 8]), 0, (s, x) -> s + x) % 256 AS int))"), "vec_id")
 
 
-# First column and row, and steps, of the seven interlace passes.
-ADAM7 = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
 _PASSES = "(VALUES " + ", ".join(f"({i + 1}, {a}, {b}, {c}, {e})" for i, (a, b, c, e) in enumerate(ADAM7)) + ") p(pass, x0, y0, dx, dy)"
 
 

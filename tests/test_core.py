@@ -9,8 +9,9 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from rasterloom.functions import keys
-from rasterloom.plans.core_queries import ORACLES, QUERIES
+from rasterloom.plans import core_queries, file_queries
 
+QUERIES, ORACLES = {**core_queries.QUERIES, **file_queries.QUERIES}, {**core_queries.ORACLES, **file_queries.ORACLES}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
