@@ -34,7 +34,7 @@ from rasterloom.llm.shingles import Shingler, mixed
 CELL_BITS, HOT, HOT_CELLS = 40, 32, 1 << 20
 ORDERS = (0x1, 0x9E3779B97F4A7C15)
 #: Pairs that one verifying task gets, sets of one block of a family, shingles that a counting task sorts at a time.
-TASK_PAIRS, BLOCK, SORTED = 1024, 1024, 2_000_000
+TASK_PAIRS, BLOCK, SORTED = 1024, 1024, 1_000_000
 
 
 def packed(x: np.ndarray, width: int) -> bytes:

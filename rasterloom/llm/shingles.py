@@ -5,17 +5,15 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Words in a worker's table, and the longest word kept there.
-KEPT_WORDS, KEPT_BYTES = 500_000, 64
+#: Words in a task's table, and the longest word kept there. A full table stays as it is: frequent words come early.
+KEPT_WORDS, KEPT_BYTES = 100_000, 64
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= KEPT_BYTES:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
+        if len(word) <= KEPT_BYTES and len(self) < KEPT_WORDS:
             self[word] = h
         return h
 
