@@ -1,17 +1,16 @@
 """Token ids of whole texts by a vocabulary file of the tokenizers library, chunk by chunk.
 
 Where a vocabulary drops white space and never looks across it, the ids of a text are the ids of its
-parts between spaces, in order. The library then sees each distinct part once per worker, many in one
-call, and a text costs one table look-up a part. The table is bounded and outlives a task. Any other
-vocabulary file gets whole texts.
+parts between spaces, in order. Each distinct part is then encoded once per worker, Latin ones by merges
+of many at once, others by the library, many in one call, and a text costs one table look-up a part.
+The table is bounded and outlives a task. Any other vocabulary file gets whole texts.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
-from collections.abc import Iterable, Iterator
+import unicodedata
 from functools import cache
 
 import numpy as np
@@ -19,15 +18,20 @@ import numpy as np
 from rasterloom.llm.token_counts import byte_symbols
 
 #: Parts in a worker's table, and the longest part kept there.
-KEPT_PARTS, KEPT_CHARS = 400_000, 64
+KEPT_PARTS, KEPT_CHARS = 300_000, 64
 #: Parts that the library gets in one call, and the character that stands between them.
 TOGETHER, MARK = 2_000, "\x01"
 ID = np.dtype("<u4")
 # Fixed value: the split pattern of the vocabularies whose Latin words are encoded without the steps before the model.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: A word of Latin-1 letters and the stops after it. Such letters compose with nothing here, lower-case
-#: one by one, and are one piece of the text; so are the stops.
-LATIN = re.compile(r"([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?]*)").fullmatch
+#: White space that is a space to the library, too, and the longest part that is merged here.
+SPACES, MERGED_CHARS = str.maketrans("\t\n\r", "   "), 256
+#: By code point: letter, digit, anything else that a pattern's last piece takes, and what is left to the
+#: library: the apostrophe and what begins a special string, white space, controls and all beyond Latin-1.
+LETTER, DIGIT, OTHER, LEFT = range(4)
+KIND = np.array([LEFT if chr(i) in "'<" or chr(i).isspace() or unicodedata.category(chr(i)) == "Cc" else {"L": LETTER, "N": DIGIT}.get(unicodedata.category(chr(i))[0], OTHER) for i in range(256)] + [LEFT], np.int8)
+LOWER = np.array([ord(chr(i).lower()) for i in range(256)], np.int64)
+NONE = np.int64(1 << 40)
 
 
 def parts_are_free(path: str) -> bool:
@@ -43,14 +47,98 @@ def parts_are_free(path: str) -> bool:
     return bool(drops and plain and norms <= {"NFC", "Replace", "Lowercase"})
 
 
+def is_latin(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 def latin_is_plain(path: str) -> bool:
-    """Whether a Latin word's ids are those that the model gives its lower-case bytes."""
+    """Whether a Latin part's ids are those that the merges give the lower-case bytes of its pieces."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    steps, model = (spec["pre_tokenizer"] or {}).get("pretokenizers", []), spec["model"]
     norms = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
-    plain = all(not LATIN(t["content"]) for t in spec["added_tokens"])
-    return plain and sorted(norms) == ["Lowercase", "NFC", "Replace"] and len(steps) == 2 and steps[0].get("pattern") == {"Regex": WORDS} and steps[1].get("type") == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+    special = all(t["content"].startswith("<") for t in spec["added_tokens"])
+    merges = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "ignore_merges", "byte_fallback"))
+    return special and merges and sorted(norms) == ["Lowercase", "NFC", "Replace"] and len(steps) == 2 and steps[0].get("pattern") == {"Regex": WORDS} and steps[1].get("type") == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+
+
+class LatinMerges:
+    """Byte-pair merging of many Latin parts at once: a round merges the first pair of lowest rank of each piece."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, end = model["vocab"], model.get("end_of_word_suffix") or ""
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        key = np.array([(vocab[a] << 32) + vocab[b] for a, b in pairs], np.int64)
+        self.rank = np.argsort(key)
+        self.key = key[self.rank]
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        symbols = byte_symbols()
+        self.inner, self.final = (np.array([vocab[symbols[b] + x] for b in range(256)], np.int64) for x in ("", end))
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pair = (a << 32) + b
+        at = np.minimum(np.searchsorted(self.key, pair), len(self.key) - 1)
+        return np.where(self.key[at] == pair, self.rank[at], NONE)
+
+    def merged(self, symbol: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """The ids where they begin, and -1 elsewhere."""
+        out, place = np.full(len(symbol), -1, np.int64), np.arange(len(symbol))
+        rank = np.full(len(symbol), NONE)
+        x = np.flatnonzero(piece[1:] == piece[:-1])
+        rank[x] = self.ranks(symbol[x], symbol[x + 1])
+        while len(symbol):
+            start = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
+            least = np.repeat(np.minimum.reduceat(rank, start), np.diff(np.r_[start, len(symbol)]))
+            live = least < NONE
+            if not live.all():
+                out[place[~live]] = symbol[~live]
+                symbol, piece, place, rank, least = (v[live] for v in (symbol, piece, place, rank, least))
+            hit = np.flatnonzero(rank == least)
+            if not len(hit):
+                break
+            hit = hit[np.r_[True, piece[hit[1:]] != piece[hit[:-1]]]]
+            symbol[hit] = self.made[rank[hit]]
+            keep = np.ones(len(symbol), bool)
+            keep[hit + 1] = False
+            symbol, piece, place, rank = (v[keep] for v in (symbol, piece, place, rank))
+            hit -= np.arange(len(hit))
+            rank[hit] = NONE
+            for x in (hit[hit + 1 < len(symbol)], hit[hit > 0] - 1):
+                x = x[piece[x] == piece[x + 1]]
+                rank[x] = self.ranks(symbol[x], symbol[x + 1])
+        return out
+
+    def ids(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of those parts that are Latin throughout."""
+        if not parts:
+            return {}
+        code = np.frombuffer("\n".join(parts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        cut = code == ord("\n")
+        part, kind = np.cumsum(cut), KIND[np.minimum(code, 256)]
+        wrong = np.bincount(part, (kind == LEFT) & ~cut, minlength=len(parts)) > 0
+        wrong |= np.bincount(part[~cut], minlength=len(parts)) > MERGED_CHARS
+        keep = ~(wrong[part] | cut)
+        code, part, kind = LOWER[code[keep]], part[keep], kind[keep]
+        if not len(code):
+            return {}
+        first = np.r_[True, (part[1:] != part[:-1]) | (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)]
+        wide = code >= 128
+        size = 1 + wide
+        at = np.cumsum(size) - size
+        data, ends = np.empty(at[-1] + size[-1], np.int64), np.zeros(at[-1] + size[-1], bool)
+        data[at] = np.where(wide, 0xC0 | code >> 6, code)
+        data[at[wide] + 1] = 0x80 | code[wide] & 63
+        ends[(at + size - 1)[np.r_[first[1:], True]]] = True
+        got = self.merged(np.where(ends, self.final[data], self.inner[data]), np.repeat(np.cumsum(first), size))
+        there = got >= 0
+        stop = 4 * np.cumsum(np.bincount(np.repeat(part, size)[there], minlength=len(parts)))
+        ids, stop = got[there].astype(ID).tobytes(), stop.tolist()
+        return {p: ids[a:b] for p, a, b, w in zip(parts, [0, *stop], stop, wrong.tolist()) if not w}
 
 
 class WordIds:
@@ -64,9 +152,7 @@ class WordIds:
         self.known: dict[str, bytes] = {"": b""}
         mark = self.library.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
-        self.latin = self.free and latin_is_plain(path)
-        symbols = byte_symbols()
-        self.symbols = {i: "".join(symbols[b] for b in chr(i).encode()) for i in range(256)}
+        self.latin = LatinMerges(path) if self.free and latin_is_plain(path) else None
 
     def encoded(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, ID).tobytes()
@@ -84,30 +170,24 @@ class WordIds:
             out += [data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)]
         return out
 
-    def latin_encoded(self, parts: Iterable[str]) -> Iterator[tuple[str, bytes]]:
-        """The ids of those parts that are Latin words with or without stops; and of the words alone."""
-        words: dict[str, bytes] = {}
-        tokens, symbols, known = self.library.model.tokenize, self.symbols, self.known
-        for part in parts:
-            if found := LATIN(part):
-                word, stops = found[1].lower(), found[2]
-                for piece in (word, stops):
-                    if piece not in known and piece not in words:
-                        words[piece] = np.array([t.id for t in tokens(piece.translate(symbols))], ID).tobytes()
-                yield part, (words[word] if word in words else known[word]) + (words[stops] if stops in words else known[stops])
-        yield from words.items()
+    def cut(self, text: str) -> list[str]:
+        """The parts of a text. A Latin text without special strings is lower-cased at once."""
+        text = text.translate(SPACES) if "\t" in text or "\r" in text else text.replace("\n", " ")
+        if self.latin and "<" not in text and is_latin(text):
+            text = text.lower()
+        return text.split(" ")
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if not self.free:
             return [self.encoded(t) for t in texts]
         out = []
         for lo in range(0, len(texts), 200):  # what is new in some texts is encoded together
-            some = [t.split(" ") for t in texts[lo : lo + 200]]
+            some = [self.cut(t) for t in texts[lo : lo + 200]]
             new = dict.fromkeys(p for parts in some for p in parts if p not in self.known)
             if len(self.known) + len(new) > KEPT_PARTS:
                 self.known = {"": b""}
                 new = dict.fromkeys(p for parts in some for p in parts if p)
-            known, found = self.known, dict(self.latin_encoded(new)) if self.latin else {}
+            known, found = self.known, self.latin.ids([p for p in new if p]) if self.latin else {}
             rest = [p for p in new if p not in found]
             found.update(zip(rest, self.parts_encoded(rest)))
             known.update(found)
