@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +65,38 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Free memory of a Python worker goes back to the system: workers outlive tasks, and what one task
+    freed would count beside what the next ones need."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(f: Callable) -> Callable:
+    """f, a function for mapInArrow, and then give_back()."""
+
+    def run(batches):
+        yield from f(batches)
+        give_back()
+
+    return run
+
+
+def lean_group(f: Callable) -> Callable:
+    """f, a function for applyInArrow, and then give_back() if the group was large."""
+
+    def run(*tables: pa.Table) -> pa.Table:
+        out = f(*tables)
+        if sum(t.nbytes for t in tables) > 1 << 20:
+            give_back()
+        return out
+
+    # Spark tells functions of a group from those of a key and a group by their number of parameters
+    return (lambda t: run(t)) if f.__code__.co_argcount == 1 else (lambda a, b: run(a, b))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

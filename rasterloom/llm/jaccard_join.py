@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import partitions, saved, table
+from rasterloom.llm.common import lean, lean_group, partitions, saved, table
 from rasterloom.llm.components import components
 from rasterloom.llm.shingles import Shingler, mixed
 
@@ -184,8 +184,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
         hot = count > HOT
         return pa.table({"cell": pa.array(own[edge[hot]].astype(np.int64)), "n": pa.array(count[hot].astype(np.int64))})
 
-    scanned = docs.select("text").mapInArrow(scan, "bucket int, cells binary")
-    counted = saved(scanned.groupBy("bucket").applyInArrow(frequent, "cell long, n long"), "frequent")
+    scanned = docs.select("text").mapInArrow(lean(scan), "bucket int, cells binary")
+    counted = saved(scanned.groupBy("bucket").applyInArrow(lean_group(frequent), "cell long, n long"), "frequent")
     # the threshold is the least power of two from HOT on that keeps the broadcast below HOT_CELLS entries of 16 bytes
     sizes = counted.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().collect()
     floor = HOT
@@ -210,7 +210,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
 
     names = ["doc_id", "n", "fp1", "fp2", "rare", "all", *(f"p{k}" for k in range(len(ORDERS)))]
     kinds = [*[pa.int64()] * 6, *[pa.binary()] * len(ORDERS)]
-    scanned = saved(docs.mapInArrow(prefixes, ", ".join(f"`{n}` {'binary' if n[0] == 'p' else 'long'}" for n in names)), "prefixes")
+    scanned = saved(docs.mapInArrow(lean(prefixes), ", ".join(f"`{n}` {'binary' if n[0] == 'p' else 'long'}" for n in names)), "prefixes")
     rows = scanned.select("doc_id", "n", "fp1", "fp2")
     full = scanned.where("doc_id is not null and n > 0")
     classes = saved(full.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep")), "classes")
@@ -261,9 +261,9 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
         o = t.column("o")[0].as_py()
         return pa.table({"o": pa.array(np.full(len(pair), o), pa.int32()), "a": pa.array(pair[:, 0]), "b": pa.array(pair[:, 1])})
 
-    posted = full.select("doc_id", "n", "rare", *names[6:]).where("rare > 0").mapInArrow(postings, "o int, bucket int, cells binary, ids binary, sizes binary, pos binary")
+    posted = full.select("doc_id", "n", "rare", *names[6:]).where("rare > 0").mapInArrow(lean(postings), "o int, bucket int, cells binary, ids binary, sizes binary, pos binary")
     # a list of a rare cell has no more rows than the cell has documents, copies included
-    found = posted.groupBy("o", "bucket").applyInArrow(candidates, "o int, a long, b long")
+    found = posted.groupBy("o", "bucket").applyInArrow(lean_group(candidates), "o int, a long, b long")
     pairs = found.groupBy("a", "b").agg(F.expr("bit_or(shiftleft(1, o)) AS orders")).where(F.col("orders") == (1 << len(ORDERS)) - 1)
     by = lambda k: rep_of.select(F.col("doc_id").alias(k), F.col("rep").alias(f"r{k}"))
     pairs = pairs.join(by("a"), "a").join(by("b"), "b").where("ra <> rb")
@@ -284,7 +284,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
                 data = shingler.set_of(text).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(tasks), pa.array([doc] * len(tasks), pa.int64()), pa.array([data] * len(tasks), pa.binary())], ["task", "doc_id", "tokens"])
 
-    given = docs.join(needs, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "tasks").mapInArrow(sets, "task string, doc_id long, tokens binary")
+    given = docs.join(needs, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "tasks").mapInArrow(lean(sets), "task string, doc_id long, tokens binary")
 
     def verified(p: pa.Table, s: pa.Table) -> pa.Table:
         ids = s.column("doc_id").to_numpy()
@@ -301,7 +301,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
             links = linked_in(own, bound)
         return pa.table({k: pa.array([int(ids[e[i]]) for e in links], pa.int64()) for i, k in enumerate(("u", "v"))})
 
-    links = pairs.groupBy("task").cogroup(given.groupBy("task")).applyInArrow(verified, "u long, v long")
+    links = pairs.groupBy("task").cogroup(given.groupBy("task")).applyInArrow(lean_group(verified), "u long, v long")
     labels = saved(components(links), "labels")
     named_by = saved(classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", "n", F.coalesce("label", "rep").alias("component_id")), "named")
     joined = rows.join(named_by, ["fp1", "fp2", "n"], "left")
