@@ -1,18 +1,25 @@
 """Embedding near-dedup over a robust-pruned flat graph.
 
 Equal vectors of a label form a class; classes are what is searched. A label's classes are cut into
-shards of bounded size, level by level: pivots are drawn from each cell that is too large, and its
-members go to the cells of their two nearest pivots, so shards overlap. Each shard builds a graph
+shards of bounded size, level by level. A cell that is not much too large is cut into blocks, and each
+two of them are a cell, which parts no pair. From a larger one pivots are drawn, and its members go to
+the cells of their two nearest pivots, so shards overlap; a pair without a common one is lost to that
+try. Each shard builds a graph
 (nearest neighbours, pruned robustly to a bounded degree); the adjacency lists of a class from all
 its shards are united. In each shard a greedy beam search goes from the medoid towards every member;
 from what it finds, and from the member's own node, the search expands along the edges of all that is
 in range until nothing new is. What is found is
-verified in double precision. Recall is audited against brute force on a bounded set of queries;
-below the target, search and graph are widened and run again.
+verified in double precision. Recall is audited against brute force on bounded sets of queries, one of
+all classes and one of those with few neighbours. Below the target, search, graph and sharding are
+widened (other and more pivots, four nearest; at last blocks alone, which part no pair, at a cost of
+about 2 / SHARD copies per class and class of its label) and run again; if that is below the target
+too, the query fails.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,12 +29,14 @@ from rasterloom.llm.common import saved, table
 from rasterloom.llm.components import components
 from rasterloom.llm.exact_topk import usable
 
-#: Classes of a shard, pivots of a cell, levels of cells.
-SHARD, PIVOTS, LEVELS = 2048, 16, 12
+#: Classes of a shard, levels of cells.
+SHARD, LEVELS = 4096, 12
+#: By try: how many nearest pivots a member goes to (None: blocks alone). A cell has PIVOTS pivots for each.
+ROUTES, PIVOTS = (2, 4, None), 8
 #: Degree, candidates that are pruned to it, beam of the search, slack of the pruning.
 DEGREE, NEAR, BEAM, ALPHA = 24, 64, 16, 1.2
-#: Queries of the audit, its target, and how often search and graph may be doubled.
-AUDITED, TARGET, WIDENED = 256, 0.97, 2
+#: Queries of the audit, those of classes with at most FEW neighbours, and its target.
+AUDITED, LONELY, FEW, TARGET = 256, 2048, 2, 0.97
 
 MEMBER = "cell string, vec_id long, v array<double>, times long, cells array<string>"
 
@@ -107,7 +116,7 @@ def in_range(v: np.ndarray, adj: np.ndarray, least: float, beam: int) -> tuple[n
     degree = np.bincount(tail, minlength=n)
     start = np.cumsum(degree) - degree
     q, k = np.nonzero((sims >= slack) & (ids >= 0))
-    found = [np.zeros(0, np.int64)]
+    seen = np.zeros((n, n), bool)
     for lo in range(0, n, 128):  # a block of queries at a time: what was compared is a bit map
         own = (q >= lo) & (q < lo + 128)
         compared = np.zeros(min(128, n - lo) * n, bool)
@@ -115,7 +124,7 @@ def in_range(v: np.ndarray, adj: np.ndarray, least: float, beam: int) -> tuple[n
         new = np.union1d((q[own] - lo) * n + ids[q[own], k[own]], (rows - lo) * n + rows)
         compared[new] = True
         while len(new):  # expand all that is in range along its edges
-            found.append(new + lo * n)
+            seen.reshape(-1)[new + lo * n] = True
             at, count = new % n, degree[new % n]
             edge = np.repeat(start[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
             next_to = np.zeros(len(compared), bool)
@@ -123,12 +132,15 @@ def in_range(v: np.ndarray, adj: np.ndarray, least: float, beam: int) -> tuple[n
             keys = np.flatnonzero(next_to & ~compared)
             compared[keys] = True
             new = np.concatenate([part[np.einsum("pd,pd->p", v32[part // n + lo], v32[part % n]) >= slack] for part in np.array_split(keys, len(keys) // 50_000 + 1)])
-    seen = np.concatenate(found)
     # what one of two has found, the other has too
-    seen = np.union1d(seen, seen % n * n + seen // n)
-    q, x = seen // n, seen % n
-    ok = np.concatenate([np.einsum("pd,pd->p", v[a], v[b]) >= least for a, b in zip(np.array_split(q, len(q) // 50_000 + 1), np.array_split(x, len(q) // 50_000 + 1))]) & (q != x)
-    return q[ok], x[ok]
+    seen |= seen.T
+    np.fill_diagonal(seen, False)
+    pairs = [np.zeros((2, 0), np.int32)]
+    for lo in range(0, n, 128):
+        q, x = np.nonzero(seen[lo : lo + 128])
+        for part in np.array_split(np.stack([q + lo, x]).astype(np.int32), len(q) // 50_000 + 1, axis=1):
+            pairs.append(part[:, np.einsum("pd,pd->p", v[part[0]], v[part[1]]) >= least])
+    return tuple(np.concatenate(pairs, axis=1))
 
 
 def apart(pivots: np.ndarray, most: float) -> np.ndarray:
@@ -141,11 +153,33 @@ def apart(pivots: np.ndarray, most: float) -> np.ndarray:
     return pivots[kept]
 
 
-def cells_of(classes: DataFrame, shard: int, least: float) -> DataFrame:
+def within_reach(v: np.ndarray, pivots: np.ndarray, least: float) -> np.ndarray:
+    """Of each vector and pivot, whether a vector of cosine of at least `least` may be nearest to the pivot."""
+    sims = v @ pivots.T
+    gap = np.sqrt(max(0.0, 2 - 2 * least)) * np.linalg.norm(pivots[:, None] - pivots, axis=2) + 1e-9
+    ok = np.ones(sims.shape, bool)
+    for k in range(len(pivots)):
+        ok &= sims[:, k : k + 1] - sims <= gap[k]
+    return ok
+
+
+def blocks_of(n: int, shard: int) -> int:
+    """Blocks of which two are at most a shard, with some room for uneven ones."""
+    return int(-(-2.1 * n // shard))
+
+
+def by_pivots(n: int, shard: int, routes: int | None) -> bool:
+    """Whether routes, with pivots, copies members less often than blocks do."""
+    return routes is not None and routes ** np.ceil(np.log(n / shard) / np.log(PIVOTS)) < blocks_of(n, shard) - 1
+
+
+def cells_of(classes: DataFrame, shard: int, least: float, routes: int | None) -> DataFrame:
     """classes (cell, vec_id, v, times) spread over overlapping cells of at most about shard members.
 
-    Pivots lie well apart, so that a cluster of near vectors stays whole. A cell of which all pivots
-    are near each other is such a cluster: it is cut into blocks, and each two of them are a cell.
+    Pivots lie well apart, so that a cluster of near vectors stays whole. Members go to their `routes`
+    nearest; where pivots are too few for that, to each that a neighbour may be nearest to. A cell of
+    which all pivots are near each other is such a cluster. It, and a cell that pivots would copy no
+    less often, is cut into blocks, and each two of them are a cell; where routes is None, each cell is.
     """
     members, done = classes, []
     for _ in range(LEVELS):
@@ -153,10 +187,10 @@ def cells_of(classes: DataFrame, shard: int, least: float) -> DataFrame:
         if sizes.isEmpty():
             break
         done.append(members.join(sizes, "cell", "left_anti"))
-        large = saved(members.join(sizes, "cell"), "large")
-        h = F.xxhash64("vec_id", "cell")
-        pivots = large.groupBy("cell", F.pmod(h, F.lit(PIVOTS)).alias("_k")).agg(F.min_by("v", h).alias("_v")).groupBy("cell").agg(F.collect_list("_v").alias("pivots"))
-        pivots = saved(pivots, "pivots")  # at most PIVOTS vectors a cell
+        large = members.join(sizes, "cell")
+        h = F.xxhash64("vec_id", "cell", F.lit(routes or 0))
+        drawn = large.groupBy("cell", F.pmod(h, F.lit(PIVOTS * (routes or 1))).alias("_k")).agg(F.min_by("v", h).alias("_v")).groupBy("cell").agg(F.collect_list("_v").alias("pivots"))
+        pivots = saved(drawn, "pivots")  # at most PIVOTS * routes vectors a cell
 
         def split(batches):
             for batch in batches:
@@ -164,13 +198,20 @@ def cells_of(classes: DataFrame, shard: int, least: float) -> DataFrame:
                 ids = batch.column("vec_id").to_numpy()
                 for cell in dict.fromkeys(cells):
                     at = np.flatnonzero(cells == cell)
-                    near = apart(np.array(batch.column("pivots")[int(at[0])].as_py()), least - 0.1)
+                    size = int(n[at[0]])
+                    near = apart(np.array(batch.column("pivots")[int(at[0])].as_py()), least - 0.1) if by_pivots(size, shard, routes) else []
                     if len(near) > 1:
-                        two = np.argsort(-(vectors_of(batch.take(pa.array(at))) @ near.T), axis=1)[:, :2]
-                        rows, names = np.repeat(at, 2), [f"{cell}.{k}" for k in two.ravel()]
+                        v = vectors_of(batch.take(pa.array(at)))
+                        if len(near) < 2 * routes:
+                            row, to = np.nonzero(within_reach(v, near, least))
+                        else:
+                            to = np.argsort(-(v @ near.T), axis=1)[:, :routes].ravel()
+                            row = np.repeat(np.arange(len(at)), routes)
+                        rows, names = at[row], [f"{cell}.{k}" for k in to.tolist()]
                     else:
-                        blocks = int(-(-3 * n[at[0]] // shard))
-                        own = (ids[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks
+                        blocks = blocks_of(size, shard)
+                        mixed = (ids[at].astype(np.uint64) ^ np.uint64(zlib.crc32(cell.encode()))) * np.uint64(0x9E3779B97F4A7C15)
+                        own = (mixed >> np.uint64(33)).astype(np.int64) % blocks
                         rows = np.repeat(at, blocks - 1)
                         names = [f"{cell}#{min(i, j)}-{max(i, j)}" for i in own.tolist() for j in range(blocks) if i != j]
                     part = batch.select(["vec_id", "v", "times"]).take(pa.array(rows))
@@ -182,9 +223,9 @@ def cells_of(classes: DataFrame, shard: int, least: float) -> DataFrame:
     return members
 
 
-def vector_links(classes: DataFrame, least: float, shard: int, degree: int, beam: int) -> DataFrame:
-    """vec_id, n (vectors of other classes linked), u, v (edges of a spanning forest) from all shards of classes."""
-    members = saved(cells_of(classes, shard, least), "members")
+def vector_links(classes: DataFrame, least: float, shard: int, routes: int | None, degree: int, beam: int) -> DataFrame:
+    """vec_id, n and m (vectors and classes, other than its own, linked), v (edges of a spanning forest) from all shards of classes."""
+    members = saved(cells_of(classes, shard, least, routes), "members")
     own_cells = members.groupBy("vec_id").agg(F.sort_array(F.collect_list("cell")).alias("cells"))
     members = saved(members.join(own_cells, "vec_id").select("cell", "vec_id", "v", "times", "cells"), "members")
 
@@ -209,36 +250,64 @@ def vector_links(classes: DataFrame, least: float, shard: int, degree: int, beam
         q, x = in_range(v, adj, least, beam)
         from rasterloom.llm.jaccard_join import forest
 
-        links = dict(forest(len(ids), q, x))
+        tree = np.zeros((2, 0), np.int64)
+        for lo in range(0, len(q), 500_000):  # a part of the pairs at a time: forest() makes objects of them
+            part = np.stack([q[lo : lo + 500_000], x[lo : lo + 500_000]])
+            tree = np.array(forest(len(ids), *np.concatenate([tree, part[:, part[0] < part[1]]], axis=1)), np.int64).reshape(-1, 2).T
+        links = dict(tree.T.tolist())
         # a pair that several shards hold counts in the first of them
-        several = np.array([len(c) > 1 for c in cells], bool)
-        mine = np.ones(len(q), bool)
-        for k in np.flatnonzero(several[q] & several[x]):
-            mine[k] = min(set(cells[q[k]]) & set(cells[x[k]])) == cell
+        kinds: dict[tuple, int] = {}
+        kind = np.array([kinds.setdefault(tuple(c), len(kinds)) for c in cells], np.int64)
+        sets = [set(c) for c in kinds]
+        both, where = np.unique(kind[q] * len(sets) + kind[x], return_inverse=True)
+        first = np.array([min(sets[k // len(sets)] & sets[k % len(sets)]) == cell for k in both.tolist()], bool)
+        mine = first[where]
         n = np.bincount(q[mine], times[x[mine]], len(ids)).astype(np.int64)
-        return pa.table({"vec_id": pa.array(ids), "n": pa.array(n), "v": pa.array([int(ids[links.get(i, i)]) for i in range(len(ids))], pa.int64())})
+        m = np.bincount(q[mine], minlength=len(ids))
+        return pa.table({"vec_id": pa.array(ids), "n": pa.array(n), "m": pa.array(m, pa.int64()), "v": pa.array([int(ids[links.get(i, i)]) for i in range(len(ids))], pa.int64())})
 
-    return members.join(united, "vec_id").groupBy("cell").applyInArrow(search, "vec_id long, n long, v long")
+    return members.join(united, "vec_id").groupBy("cell").applyInArrow(search, "vec_id long, n long, m long, v long")
 
 
 def audited(classes: DataFrame, counted: DataFrame, least: float) -> float:
-    """Links found of those that there are, for AUDITED classes by hash and all classes of their labels."""
-    rows = classes.join(counted, "vec_id").orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(AUDITED).select("cell", "v", "times", "n").collect()
-    queries = classes.sparkSession.sparkContext.broadcast([(r["cell"], np.array(r["v"])) for r in rows])
+    """Links found of those that there are, for classes drawn by hash against all classes of their labels.
+
+    The lesser of two shares: of the vectors that AUDITED classes link with, and of the classes that
+    those of LONELY with at most FEW neighbours do, whom the links of large groups would outweigh.
+    """
+    rows = classes.join(counted, "vec_id").orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(AUDITED).select("cell", "v", "times", "n", "m").collect()
+    lonely = counted.where(F.col("m") <= FEW)  # what has few neighbours has no more of them found
+    drawn = range(len(rows))
+    rows += classes.join(lonely, "vec_id").orderBy(F.xxhash64("vec_id", F.lit(6)), "vec_id").limit(LONELY).select("cell", "v", "times", "n", "m").collect()
+    asked: dict[str, list[int]] = {}
+    for i, r in enumerate(rows):
+        asked.setdefault(r["cell"], []).append(i)
+    queries = classes.sparkSession.sparkContext.broadcast({cell: (own, np.array([rows[i]["v"] for i in own])) for cell, own in asked.items()})
 
     def count(batches):
         for batch in batches:
             cells, times = np.array(batch.column("cell").to_pylist(), object), batch.column("times").to_numpy()
-            for cell in dict.fromkeys(own for own, _ in queries.value):
+            for cell in dict.fromkeys(cells):
+                if cell not in queries.value:
+                    continue
                 at = np.flatnonzero(cells == cell)
-                if len(at):  # vectors of a cell have one length
-                    v = vectors_of(batch.take(pa.array(at)))
-                    n = {i: int(times[at][v @ q >= least].sum()) for i, (own, q) in enumerate(queries.value) if own == cell}
-                    yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], ["i", "n"])
-
-    there = {r[0]: r[1] for r in classes.select("cell", "v", "times").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n")).collect()}
-    true = sum(there.get(i, 0) - r["times"] for i, r in enumerate(rows))
-    return 1.0 if true <= 0 else sum(r["n"] for r in rows) / true
+                own, q = queries.value[cell]
+                v = vectors_of(batch.take(pa.array(at)))  # vectors of a cell have one length
+                near = [q[k : k + 128] @ v.T >= least for k in range(0, len(own), 128)]
+                n, m = (np.concatenate([x @ w for x in near]).astype(np.int64) for w in (times[at], np.ones(len(at), np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(n), pa.array(m)], ["i", "n", "m"])
+
+    sums = classes.select("cell", "v", "times").mapInArrow(count, "i long, n long, m long").groupBy("i").agg(F.sum("n"), F.sum("m"))
+    there = {r[0]: (r[1] - rows[r[0]]["times"], r[2] - 1) for r in sums.collect()}  # without its own class
+    few = [i for i in range(len(drawn), len(rows)) if 0 < there[i][1] <= FEW]
+    shares = [1.0]
+    for found, true in (
+        (sum(min(rows[i]["n"], there[i][0]) for i in drawn), sum(there[i][0] for i in drawn)),
+        (sum(min(rows[i]["m"], there[i][1]) for i in few), sum(there[i][1] for i in few)),
+    ):
+        if true > 0:
+            shares.append(found / true)
+    return min(shares)
 
 
 def vector_near_dups(vectors: DataFrame, least: float = 0.93, shard: int = SHARD) -> DataFrame:
@@ -248,8 +317,9 @@ def vector_near_dups(vectors: DataFrame, least: float = 0.93, shard: int = SHARD
     null or non-finite components and null labels link with nothing; vectors meet only vectors of
     their own length. Repeated rows are vectors of their own. A null vec_id cannot be named: the row
     links with nothing and its component is null. Other columns are not looked at. An empty table
-    gives an empty result. No pair below `least` is linked; a pair that the graph does not lead to may
-    be missed, which the audit bounds.
+    gives an empty result. No pair below `least` is linked; a pair that sharding parts or the graph does
+    not lead to may be missed, which the audit bounds: if the widest try finds less than TARGET of what
+    the audit's queries link with, this raises RuntimeError.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.expr("transform(embedding, x -> cast(x AS double))").alias("v"), F.col("label").cast("string").alias("label"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
@@ -258,12 +328,15 @@ def vector_near_dups(vectors: DataFrame, least: float = 0.93, shard: int = SHARD
     good = saved(good, "vectors")
     classes = saved(good.groupBy("cell", "v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("times")), "classes").select("cell", "vec_id", "v", "times")
     degree, beam = DEGREE, BEAM
-    for _ in range(WIDENED + 1):
-        found = saved(vector_links(classes, least, shard, degree, beam), "links")
-        counted = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
-        if audited(classes, counted, least) >= TARGET:
+    for routes in ROUTES:
+        found = saved(vector_links(classes, least, shard, routes, degree, beam), "links")
+        counted = found.groupBy("vec_id").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+        recall = audited(classes, counted, least)
+        if recall >= TARGET:
             break
         degree, beam = 2 * degree, 2 * beam
+    else:
+        raise RuntimeError(f"vector_near_dups: the audit's recall is {recall:.4f} after the widest try; the target is {TARGET}")
     labels = components(found.select(F.col("vec_id").alias("u"), "v"))
     named = classes.join(counted, "vec_id").join(labels.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     named = saved(named.select("cell", F.col("v").alias("_v"), (F.col("n") + F.col("times") - 1).alias("n_links"), F.coalesce("label", "vec_id").alias("component_id")), "named")

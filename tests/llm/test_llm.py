@@ -211,6 +211,46 @@ def test_vectors(spark):
     assert vector_dedup.vector_near_dups(df.where("vec_id < 0")).count() == 0
 
 
+def isolated_pairs(spark, n, pairs):
+    """A table of n vectors far from each other, the first of which have one near vector each, and one large group."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(n, 24))
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    aside = rng.normal(size=(pairs, 24))
+    aside -= (aside * unit[:pairs]).sum(1, keepdims=True) * unit[:pairs]
+    near = 0.935 * unit[:pairs] + np.sqrt(1 - 0.935**2) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+    group = unit[-1] + rng.normal(size=(120, 24)) * 0.01
+    v = np.concatenate([unit, near, group])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    return v, spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+
+
+def test_vectors_of_isolated_pairs_meet(spark):
+    v, df = isolated_pairs(spark, 1500, 300)
+    got = {r["vec_id"]: r for r in vector_dedup.vector_near_dups(df, shard=64).collect()}
+    true = (v @ v.T >= 0.93).sum(1) - 1
+    lonely = [i for i in range(len(v)) if true[i] == 1]
+    assert len(lonely) > 300
+    assert sum(got[i]["n_links"] for i in lonely) >= 0.97 * len(lonely)
+    assert all(got[i]["n_links"] <= true[i] for i in got)
+
+
+def test_vectors_fail_below_the_target(spark, monkeypatch):
+    _, df = isolated_pairs(spark, 400, 100)
+    monkeypatch.setattr(vector_dedup, "audited", lambda *_: 0.5)
+    with pytest.raises(RuntimeError, match="recall is 0.5000"):
+        vector_dedup.vector_near_dups(df, shard=64)
+
+
+def test_vector_blocks_part_no_pair(spark):
+    _, df = isolated_pairs(spark, 400, 100)
+    classes = df.selectExpr("'a' cell", "vec_id", "embedding v", "1L times")
+    cells = {}
+    for r in vector_dedup.cells_of(classes, 100, 0.93, None).collect():
+        cells.setdefault(r["vec_id"], set()).add(r["cell"])
+    assert all(cells[i] & cells[j] for i in cells for j in cells)
+
+
 @pytest.mark.parametrize("scale", [3.0, 1e8])
 def test_topk(spark, scale):
     rng = np.random.default_rng(4)
