@@ -38,10 +38,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones (five words, 0.8): that of the smallest id. Rows of a
-    null id stay."""
-    dropped = jaccard_components(docs, words=5, num=4, den=5).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of similar ones (five words, 0.8): that of the smallest id, null after all
+    others. Rows of equal or null ids are rows of their own. Texts without words stay."""
+    rows = numbered(docs)
+    groups = jaccard_components(rows.select(F.col(ROW).alias("doc_id"), "text"), words=5, num=4, den=5).select(F.col("doc_id").alias(ROW), "component_id")
+    members = saved(rows.select(ROW, "doc_id").join(groups, ROW), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW))[ROW].alias(ROW))
+    dropped = saved(members.join(first, ROW, "left_anti").select(ROW), "dropped")
+    return rows.join(dropped, ROW, "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

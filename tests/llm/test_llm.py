@@ -342,6 +342,16 @@ def test_pipeline(spark, sf):
     assert packed.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 4096").isEmpty()
 
 
+def test_pipeline_keeps_one_row_of_equal_and_null_ids(spark):
+    import corpus_pipeline as C
+
+    same, other = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen"
+    rows = [(7, same), (7, same), (None, same), (None, other), (None, other), (9, "a text of its own, of six words"), (9, other + " x"), (3, ""), (3, "")]
+    docs = C.saved(spark.createDataFrame(rows, "doc_id long, text string"), "docs")
+    got = C.near_duplicates(spark, docs, "").collect()
+    assert Counter(map(tuple, got)) == Counter([(7, same), (9, rows[5][1]), (None, other), (9, other + " x"), (3, ""), (3, "")])
+
+
 def docs_label():
     from pyspark.sql import functions as F
 
