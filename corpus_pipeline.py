@@ -6,6 +6,7 @@ again as the next stage's docs. All but the last keep the columns of docs, extra
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from rasterloom.llm.best_fit import best_fit_packing
 from rasterloom.llm.common import saved
 from rasterloom.llm.jaccard_join import jaccard_components
-from rasterloom.llm.language_id import UNKNOWN, fit, in_fold, language_of
+from rasterloom.llm.language_id import COLUMNS, UNKNOWN, Model, fit, in_fold, language_of
 from rasterloom.llm.secrets import redacted, secret_spans
 from rasterloom.llm.source_mix import source_mix
 
@@ -32,8 +33,12 @@ def with_text(docs: DataFrame, text) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a recognised language; texts without letters go. Fitted on three of four folds."""
+    """Documents of texts with letters: a model, fitted on three of four folds, names a language for each
+    of them, however low its score, so only texts without letters go. Where those folds name no language,
+    the same is done without a model of one."""
     model = fit(docs.where(~in_fold("doc_id")))
+    if not model.names:
+        model = Model.of({"any": (1, np.zeros(COLUMNS))})
     return docs.where(language_of(model, F.col("text")) != UNKNOWN)
 
 

@@ -352,6 +352,14 @@ def test_pipeline_keeps_one_row_of_equal_and_null_ids(spark):
     assert Counter(map(tuple, got)) == Counter([(7, same), (9, rows[5][1]), (None, other), (9, other + " x"), (3, ""), (3, "")])
 
 
+def test_pipeline_without_languages_keeps_texts_of_letters(spark):
+    import corpus_pipeline as C
+
+    rows = [(i, t, None) for i, t in enumerate(["one", "größer 12", "12 - 34", "", None])]
+    docs = C.saved(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "docs")
+    assert sorted(r["doc_id"] for r in C.language(spark, docs, "").collect()) == [0, 1]
+
+
 def docs_label():
     from pyspark.sql import functions as F
 
