@@ -2,7 +2,7 @@
 
 Documents are put in ascending doc_id order and cut into shards of consecutive documents. Within a
 shard, frequent pairs of ids are replaced by nonterminals, again and again (Re-Pair, with all
-frequent pairs of a round replaced at once); no pair spans two documents. A shard is a row of a
+frequent pairs of a round replaced at once), until no pair is frequent; no pair spans two documents. A shard is a row of a
 Parquet dataset:
 
   part, shard        place in the order: all shards of a part follow those of the parts before
@@ -35,8 +35,8 @@ SHARD = (
 DOCS = "part int, shard int, n_before long, doc_id long, n_tokens long, ids_crc32 long"
 #: Ids after which a shard is closed; a longer document is a shard of its own.
 SHARD_IDS = 1 << 20
-#: Rounds of replacement, rules a round, and how often a pair has to occur for a rule.
-ROUNDS, RULES, LEAST = 6, 1 << 14, 8
+#: Rules a round, and how often a pair has to occur for a rule.
+RULES, LEAST = 1 << 14, 8
 
 
 def hashed(pair: np.ndarray) -> np.ndarray:
@@ -49,9 +49,7 @@ def compressed(ids: np.ndarray, lengths: np.ndarray) -> tuple[int, np.ndarray, n
     doc = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
     first = top = int(seq.max()) + 1 if len(seq) else 0
     left, right, spans = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:  # a round shortens seq: at least one of its rules has a slot and a place
         pair = seq[:-1] * (1 << 32) + seq[1:]
         inside = doc[:-1] == doc[1:]
         slot = hashed(pair)

@@ -301,6 +301,18 @@ def test_grammar_ids(spark, docs, none):
     assert grammar_ids.read_ids(spark, empty).count() == 0
 
 
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    ids = np.tile(np.random.default_rng(3).integers(2, 500, 300), 40)
+    ids = np.concatenate([ids, np.random.default_rng(4).integers(2, 60, 20_000)]).astype("<u4")
+    lengths = np.array([300] * 40 + [20_000])
+    first, left, right, spans, sequence, symbols = grammar_ids.compressed(ids, lengths)
+    doc = np.repeat(np.arange(len(lengths)), symbols)
+    pairs = Counter((a, b) for a, b, same in zip(sequence[:-1].tolist(), sequence[1:].tolist(), doc[:-1] == doc[1:]) if same)
+    assert max(pairs.values()) < grammar_ids.LEAST
+    assert max(spans.tolist()) == 300
+    assert grammar_ids.expanded(sequence, first, left, right).tolist() == ids.tolist()
+
+
 def test_packing(docs, none):
     lib = Tokenizer.from_file(WORD)
     got = best_fit.best_fit_packing(docs, WORD, capacity=64).collect()
