@@ -4,7 +4,8 @@ Base patterns find spans in whole texts. A wider pattern finds further candidate
 mix letters and digits. The hash of every value found is aggregated over the corpus by distinct
 repositories and owners. A value that several owners hold is a widely copied example; one that a
 single owner holds looks live. Wider candidates become spans only where they look live; base spans
-always stay.
+always stay. The decision is by owners alone, as OP2_SQL has it: repositories are counted, but a value
+in very many repositories of one owner counts as live, and one of just two owners as widely copied.
 """
 
 from __future__ import annotations
