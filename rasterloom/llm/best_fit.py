@@ -2,9 +2,9 @@
 
 Piece lengths are whole numbers up to the capacity, so the instance is a histogram of at most that
 many counts, whatever the number of documents. On it, the driver first fixes pieces by the
-Martello-Toth dominance criterion: a longest piece whose feasible companions are dominated by one
-set of at most two others goes into a sequence with that set, and the instance shrinks. Best fit
-packs what is left. The plan is a list of intervals: ranks lo..hi among the pieces of one length go
+Martello-Toth dominance criterion, in part: a longest piece whose feasible companions are dominated by
+none or one other goes into a sequence with it, and the instance shrinks. Sets of two others are not
+tried, nor are lengths that were passed over tried again. Best fit packs what is left. The plan is a list of intervals: ranks lo..hi among the pieces of one length go
 to sequences seq.. at offset .... Pieces get their rank in two levels (bucket, then row), so a length
 that most documents share is spread over many tasks.
 """
