@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import scratch_path, shuffle_width, table
-from rasterloom.llm.word_bpe import ID, word_ids
+from rasterloom.llm.word_bpe import ID, ragged, word_ids
 
 SHARD = (
     "part int, shard int, n_tokens long, doc_ids array<long>, tokens array<long>, symbols array<long>, "
@@ -37,54 +37,97 @@ DOCS = "part int, shard int, n_before long, doc_id long, n_tokens long, ids_crc3
 SHARD_IDS = 1 << 20
 #: Rules a round, and how often a pair has to occur for a rule.
 RULES, LEAST = 1 << 14, 8
+FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def hashed(pair: np.ndarray) -> np.ndarray:
-    return (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int32)
+def slots_of(pair: np.ndarray, factor: int) -> np.ndarray:
+    return (pair * np.uint64(factor) >> np.uint64(44)).astype(np.int32)
+
+
+def frequent(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rules, rule, place): the RULES most frequent pairs in order, and the places that hold them, with their numbers.
+
+    Rules are found by two hash tables without chains; one that has lost both its slots to others
+    gets no place, and waits for a later round.
+    """
+    place, own, slot = None, pair, slots_of(pair, FACTORS[0])
+    if len(pair) > 1 << 14:  # a pair of a slot that is hit less than LEAST times is not frequent and need not be sorted
+        place = np.flatnonzero((np.bincount(slot, minlength=1 << 20) >= LEAST)[slot])
+        own, slot = pair[place], slot[place]
+    keys = np.sort(own)
+    edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    counts = np.diff(np.r_[edge, len(keys)])
+    often = np.flatnonzero(counts >= LEAST)
+    if len(often) > RULES:
+        often = np.sort(often[np.lexsort((often, -counts[often]))[:RULES]])
+    rules = keys[edge[often]]
+    if not len(rules):
+        return rules, np.zeros(0, np.int32), np.zeros(0, np.int64)
+    numbers = np.arange(len(rules), dtype=np.int32)
+    table = np.full(1 << 20, len(rules), np.int32)
+    padded = np.r_[rules, np.uint64((1 << 64) - 1)]  # no pair is that
+    table[slots_of(rules, FACTORS[0])] = numbers
+    rule = table[slot]
+    lost = numbers[table[slots_of(rules, FACTORS[0])] != numbers]
+    hit = padded[rule] == own
+    if len(lost):
+        again = np.flatnonzero(~hit)
+        table = np.full(1 << 20, len(rules), np.int32)
+        table[slots_of(rules[lost], FACTORS[1])] = lost
+        rule[again] = table[slots_of(own[again], FACTORS[1])]
+        hit[again] = padded[rule[again]] == own[again]
+    hit = np.flatnonzero(hit)
+    return rules, rule[hit], hit if place is None else place[hit]
 
 
 def compressed(ids: np.ndarray, lengths: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first_rule, left, right, spans, sequence, symbols by document) of the ids of documents of these lengths."""
-    seq = ids.astype(np.int64)
-    doc = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
+    """(first_rule, left, right, spans, sequence, symbols by document) of the ids of documents of these lengths.
+
+    After a round over the whole sequence, the next ones look at pairs with a symbol that the round
+    before has made, as others are no more frequent than they were; when those give no rule, the whole
+    sequence is looked at again, and its giving none ends it.
+    """
+    seq, last = ids.astype(ID), np.zeros(len(ids), bool)
+    last[np.cumsum(lengths)[lengths > 0] - 1] = True
     first = top = int(seq.max()) + 1 if len(seq) else 0
-    left, right, spans = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    while len(seq) > 1:  # a round shortens seq: at least one of its rules has a slot and a place
-        pair = seq[:-1] * (1 << 32) + seq[1:]
-        inside = doc[:-1] == doc[1:]
-        slot = hashed(pair)
-        # a pair of a slot that is hit less than LEAST times is not frequent and need not be sorted
-        keys = np.sort(pair[inside & (np.bincount(slot, minlength=1 << 20)[slot] >= LEAST)])
-        edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-        counts = np.diff(np.r_[edge, len(keys)])
-        often = np.flatnonzero(counts >= LEAST)
-        if not len(often):
-            break
-        often = often[np.lexsort((keys[edge[often]], -counts[often]))][:RULES]
-        rules = np.sort(keys[edge[often]])
-        # rules by a hash table without chains; a rule that loses its slot waits for a later round
-        slots = np.full(1 << 20, -1, np.int32)
-        slots[hashed(rules)] = np.arange(len(rules), dtype=np.int32)
-        at = slots[slot]
-        hit = np.flatnonzero(inside & (at >= 0) & (rules[at] == pair))
+    left, right, spans = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(0, np.int64)
+    made = None  # where the round before has put its symbols; None: look at all
+    while len(seq) > 1:
+        if made is None:
+            x = np.flatnonzero(~last[:-1])
+            pair = (seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:])[x]
+        else:
+            x = np.unique(np.r_[made[made > 0] - 1, made[made < len(seq) - 1]])
+            x = x[~last[x]]
+            pair = seq[x].astype(np.uint64) << np.uint64(32) | seq[x + 1]
+        rules, rule, at = frequent(pair)
+        if not len(rules):
+            if made is None:
+                break
+            made = None
+            continue
+        hit = x[at]
         # of hits that overlap, every second one of a run is taken, from its first
-        run = np.r_[True, np.diff(hit) > 1]
-        starts = np.flatnonzero(run)
-        hit = hit[(np.arange(len(hit)) - starts[np.cumsum(run) - 1]) % 2 == 0]
-        times = np.bincount(at[hit], minlength=len(rules))
+        number = np.arange(len(hit))
+        odd = np.flatnonzero((number - np.maximum.accumulate(np.where(np.r_[True, np.diff(hit) > 1], number, 0))) % 2 == 0)
+        rule, hit = rule[odd], hit[odd]
+        times = np.bincount(rule, minlength=len(rules))
         used = np.flatnonzero(times)
-        seq[hit] = top + (np.cumsum(times > 0) - 1)[at[hit]]
+        seq[hit] = (top + np.cumsum(times > 0) - 1).astype(ID)[rule]
+        last[hit] = last[hit + 1]
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
-        seq, doc = seq[keep], doc[keep]
-        a, b = rules[used] >> 32, rules[used] & 0xFFFFFFFF
-        known = np.concatenate(spans)
-        spans.append(sum(np.where(x < first, 1, known[np.maximum(x - first, 0)] if len(known) else 1) for x in (a, b)))
+        seq, last = seq[keep], last[keep]
+        made = hit - np.arange(len(hit))
+        a, b = (rules[used] >> np.uint64(32)).astype(np.int64), (rules[used] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        known = spans if len(spans) else np.ones(1, np.int64)
+        spans = np.r_[spans, sum(np.where(v < first, 1, known[np.maximum(v - first, 0)]) for v in (a, b))]
         left.append(a)
         right.append(b)
         top += len(used)
-    symbols = np.bincount(doc, minlength=len(lengths)).astype(np.int64)
-    return first, *(np.concatenate(x).astype(ID) for x in (left, right, spans)), seq.astype(ID), symbols
+    symbols = np.zeros(len(lengths), np.int64)
+    symbols[lengths > 0] = np.diff(np.r_[-1, np.flatnonzero(last)])
+    return first, *(np.concatenate(v).astype(ID) for v in (left, right, [spans])), seq, symbols
 
 
 def expanded(sequence: np.ndarray, first: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
