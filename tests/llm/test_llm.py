@@ -271,8 +271,8 @@ def test_warc(spark):
     out = scratch_path(spark, "warc-test")
     warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), out)
     got = {r["capture"]: r for r in warc.assembled(warc.read_warc(spark, out)).collect()}
-    assert set(got) == {1, 2, 3, 4, 5, 6, 7}
-    assert {k: r["response"]["kind"] for k, r in got.items()} == {1: "revisit", 2: "revisit", 3: "response", 4: "response", 5: "response", 6: "response", 7: "response"}
+    assert set(got) == {None, 1, 2, 3, 4, 5, 6, 7}
+    assert {k: r["response"]["kind"] for k, r in got.items()} == {None: "response", 1: "revisit", 2: "revisit", 3: "response", 4: "response", 5: "response", 6: "response", 7: "response"}
     assert got[1]["response"]["refers_to"] == 6
     assert bytes(got[6]["response"]["payload"]).decode() == big
     assert got[6]["response"]["payload_digest"] == hashlib.sha1(big.encode()).hexdigest()
@@ -282,6 +282,29 @@ def test_warc(spark):
     assert warc.assembled(warc.read_warc(spark, empty)).count() == 0
 
 
+def test_warc_keeps_rows_of_equal_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(warc, "STRETCH", 3000)
+    monkeypatch.setattr(warc, "FILE_STRETCHES", 1)
+    big = "b" * 1200
+    rows = [(1, "a" * 1200), (1, big), (2, "c"), (2, "c"), (None, "x"), (None, big), (9, big), (9, big), (4, "d" * 1_000_000)]
+    df = spark.createDataFrame([(i, None, h, "clash") for i, h in rows], "page_id long, url string, html string, payload string").coalesce(1)
+    out = scratch_path(spark, "warc-rows")
+    warc.write_warc(df, out)
+    got = warc.assembled(warc.read_warc(spark, out)).select("capture", "response.kind", "response.refers_to", "response.payload").collect()
+    want = [(i, "revisit", 9, None) if h == big and i != 9 else (i, "response", None, h) for i, h in rows]
+    assert Counter((r[0], r[1], r[2], r[3] and bytes(r[3]).decode()) for r in got) == Counter(want)
+    assert spark.read.format("binaryFile").load(out).count() > 3
+
+
+def test_records_of_many_members_and_parts(monkeypatch):
+    import gzip
+
+    monkeypatch.setattr(warc, "PACKED", 7)
+    parts = [f"WARC/1.1\r\nContent-Length: {n}\r\n\r\n{'x' * n}\r\n\r\n".encode() for n in (0, 5, 1000, 40)]
+    for data in (b"".join(parts), gzip.compress(b"".join(parts)), b"".join(map(gzip.compress, parts))):
+        assert [len(b) for _, b in warc.records_of(data)] == [0, 5, 1000, 40]
+
+
 def test_grammar_ids(spark, docs, none):
     lib = Tokenizer.from_file(WORD)
     out = scratch_path(spark, "ids-test")
