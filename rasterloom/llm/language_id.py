@@ -2,8 +2,8 @@
 
 A text is lower-cased; runs of anything but letters become one space. Its n-grams of 1 to 3
 characters are hashed into a fixed number of columns. The log-probability matrix (languages x
-columns, single precision) has a fixed size and is broadcast; a batch is scored by gathering its
-n-grams' rows and adding them up per text.
+columns, single precision) has a fixed size and is broadcast. A batch of texts is scored together: the
+n-grams of all its texts, one after the other, gather their rows of the matrix, which are added up per text.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ COLUMNS, ORDERS = 1 << 16, (1, 2, 3)
 FIT_DOCUMENTS = 2_000
 #: Most languages of a model; the matrix then has LANGUAGES x COLUMNS x 4 bytes = 64 MB at most.
 LANGUAGES = 256
+#: Numbers of the matrix that are gathered at a time, and tasks that count the sample's n-grams.
+GATHERED, COUNTING = 1 << 21, 8
 UNKNOWN = "und"
 
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -65,19 +67,45 @@ class Model:
         grams = np.array([counts[k][1] for k in names], float).reshape(len(names), COLUMNS) + 0.5
         return Model(names, np.log(docs / docs.sum()), np.ascontiguousarray(np.log(grams / grams.sum(1, keepdims=True)).T.astype(np.float32)))
 
+    def predictions(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Of each text the likeliest language and its share of probability, tempered: the log odds of a
+        text are divided by the square root of its n-grams, which overlap and so are far from independent."""
+        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+        if not self.names:
+            return out
+        together = max(1 << 12, GATHERED // len(self.names))
+        which, held, size = [], [], 0
+
+        def scored() -> None:
+            n = np.array([len(c) for c in held])
+            ends = np.cumsum(n)
+            total = np.zeros((len(held), len(self.names)))
+            for lo in range(0, size, together):  # a long text's rows are gathered part by part
+                at = np.concatenate(held)[lo : lo + together] if len(held) > 1 else held[0][lo : lo + together]
+                first = np.searchsorted(ends, lo, "right")
+                begins = np.maximum(ends - n - lo, 0)
+                some = np.flatnonzero((begins < len(at)) & (ends > lo) & (np.arange(len(n)) >= first))
+                total[some] += np.add.reduceat(self.grams[at], begins[some], axis=0, dtype=np.float64)
+            odds = total + self.prior
+            best = odds.argmax(1)
+            share = 1 / np.exp((odds - odds.max(1, keepdims=True)) / np.sqrt(n)[:, None]).sum(1)
+            for i, k, p in zip(which, best.tolist(), share.tolist()):
+                out[i] = (self.names[k], p)
+
+        for i, text in enumerate(texts):
+            if known := letters(text):
+                which.append(i)
+                held.append(columns(known))
+                size += len(held[-1])
+                if size >= together:
+                    scored()
+                    which, held, size = [], [], 0
+        if held:
+            scored()
+        return out
+
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The likeliest language and its share of probability, tempered: the log odds of a text are
-        divided by the square root of its n-grams, which overlap and so are far from independent."""
-        known = letters(text)
-        if not known or not self.names:
-            return UNKNOWN, 0.0
-        at = columns(known)
-        total = self.prior.copy()
-        for lo in range(0, len(at), 1 << 16):  # a long text is gathered in blocks
-            total += self.grams[at[lo : lo + (1 << 16)]].sum(0, dtype=np.float64)
-        odds = (total - total.max()) / np.sqrt(len(at))
-        best = int(total.argmax())
-        return self.names[best], float(1 / np.exp(odds).sum())
+        return self.predictions([text])[0]
 
 
 def in_fold(doc_id, fold: int = 2, folds: int = 4):
@@ -106,10 +134,10 @@ def fit(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> Model:
                     own[1] += np.bincount(columns(known), minlength=COLUMNS)
         yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([zlib.compress(v[1].tobytes(), 1) for v in found.values()], pa.binary())], ["lang", "docs", "grams"])
 
+    # every task of the scan filters; what is left has a bounded size, and so have its counts
     sample = labelled.join(cuts, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < F.col("cut")).select("text", "lang")
     counts: dict[str, tuple[int, np.ndarray]] = {}
-    # at most LANGUAGES rows of compressed counts a task; the sample has a fixed size, and so have its counts
-    for lang, n, grams in sample.coalesce(4).mapInArrow(count, "lang string, docs long, grams binary").toLocalIterator():
+    for lang, n, grams in sample.repartition(COUNTING).mapInArrow(count, "lang string, docs long, grams binary").collect():
         old = counts.get(lang, (0, 0))
         counts[lang] = (old[0] + n, old[1] + np.frombuffer(zlib.decompress(bytes(grams)), np.int64))
     return Model.of(counts)
@@ -126,22 +154,21 @@ def language_id(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = shared.value.predict
         for batch in batches:
-            found = [predict(t) for t in batch.column(2).to_pylist()]
+            found = shared.value.predictions(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), in_fold("doc_id").alias("held_out"), "text").mapInArrow(run, PREDICTED)
 
 
 def language_of(model: Model, text: Column) -> Column:
-    """The predicted language as a column, for plans that keep all other columns of a row."""
+    """The predicted language and its score as a struct, for plans that keep all other columns of a row."""
     shared = SparkSession.active().sparkContext.broadcast(model)
 
-    @F.arrow_udf("string")
+    @F.arrow_udf("struct<lang:string,score:double>")
     def predicted(texts: pa.Array) -> pa.Array:
-        predict = shared.value.predict
-        return pa.array([predict(t)[0] for t in texts.to_pylist()], pa.string())
+        found = shared.value.predictions(texts.to_pylist())
+        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang", "score"])
 
     return predicted(text)
 
