@@ -2,9 +2,9 @@
 
 Piece lengths are whole numbers up to the capacity, so the instance is a histogram of at most that
 many counts, whatever the number of documents. On it, the driver first fixes pieces by the
-Martello-Toth dominance criterion, in part: a longest piece whose feasible companions are dominated by
-none or one other goes into a sequence with it, and the instance shrinks. Sets of two others are not
-tried, nor are lengths that were passed over tried again. Best fit packs what is left. The plan is a list of intervals: ranks lo..hi among the pieces of one length go
+Martello-Toth dominance criterion: a piece goes into a sequence with a set of at most two others that
+dominates all other sets that fit beside it, the instance shrinks, and passes over all lengths go on until
+none fixes anything. Best fit packs what is left. The plan is a list of intervals: ranks lo..hi among the pieces of one length go
 to sequences seq.. at offset .... Pieces get their rank in two levels (bucket, then row), so a length
 that most documents share is spread over many tasks.
 """
@@ -42,44 +42,88 @@ class Lengths:
         self.counts[length] -= n
         if not self.counts[length]:
             del self.counts[length]
-            self.keys.remove(length)
+            del self.keys[bisect_right(self.keys, length) - 1]
 
-    def two_least(self, besides: int) -> list[int]:
-        """The two shortest pieces, when one of the length besides is spoken for."""
+    def least(self, n: int, besides: int) -> list[int]:
+        """The n shortest pieces, when one of the length besides is spoken for."""
         found: list[int] = []
-        for k in self.keys[:3]:
-            found += [k] * min(2, self.counts[k] - (k == besides))
+        for k in self.keys[: n + 1]:
+            found += [k] * min(n, self.counts[k] - (k == besides))
+        return found[:n]
+
+    def left(self, length: int, *taken: int) -> int:
+        """Pieces of a length when some are spoken for."""
+        return self.counts.get(length, 0) - taken.count(length)
+
+    def best_pair(self, room: int, besides: int) -> tuple[int, int]:
+        """Two pieces of the greatest sum up to room, the longer first, of equal sums that with the longest; (0, 0) if none fit."""
+        best, a = (0, 0), self.longest(room)
+        while a and 2 * a > sum(best):
+            b = self.longest(min(a, room - a)) if self.left(a, besides) > 0 else 0
+            while b and self.left(b, besides, a) < 1:
+                b = self.longest(b - 1)
+            if b and a + b > sum(best):
+                best = (a, b)
+            a = self.longest(a - 1)
+        return best
+
+    def between(self, low: int, high: int, besides: int) -> list[int]:
+        """The two shortest pieces that are longer than low and shorter than high."""
+        found: list[int] = []
+        for k in self.keys[bisect_right(self.keys, low) :]:
+            if k >= high or len(found) >= 2:
+                break
+            found += [k] * min(2, self.left(k, besides))
         return found[:2]
 
 
+def companions(lengths: Lengths, j: int, room: int) -> list[int] | None:
+    """The pieces that dominate all others that fit beside one of length j; None where no such set is seen.
+
+    Any set beside j can take the place of another that is no longer, piece by piece. So i, the longest that
+    fits, dominates all where it fills the room, where no two pieces fit together, and where at most two
+    do and no two have a greater sum. Where at most two fit, the two a >= b of the greatest sum dominate
+    all where a is the longest and no two pieces longer than b and shorter than a fit together.
+    """
+    i = lengths.longest(room)
+    if i == j and lengths.left(i, j) < 1:
+        i = lengths.longest(i - 1)
+    if not i:
+        return []
+    small = lengths.least(3, j)
+    if i == room or len(small) < 2 or small[0] + small[1] > room:
+        return [i]
+    if len(small) == 3 and sum(small) <= room:
+        return None
+    a, b = lengths.best_pair(room, j)
+    if i >= a + b:
+        return [i]
+    inner = lengths.between(b, a, j)
+    return [a, b] if a == i and (len(inner) < 2 or sum(inner) > room) else None
+
+
 def reduced(lengths: Lengths, capacity: int) -> list[tuple[int, list[int]]]:
-    """Fixes (times, lengths of a sequence) by dominance and takes them out of lengths.
+    """Fixes (times, lengths of a sequence) by dominance and takes them out of lengths, until no length is left
+    that a set of companions is seen for.
 
-    For a piece j with room r = capacity - j, from the longest down, the companions are dominated by
-    none, if nothing fits; by i, the longest that fits, if i fills the room exactly or no two pieces
-    fit together. Pieces of equal length are fixed together: taking pieces away lets the reason stand
-    as long as i is there.
+    Pieces of equal length are fixed together: taking pieces away lets the reason stand as long as the
+    companions are there.
     """
-    fixed = []
-    j = lengths.keys[-1] if lengths.keys else 0
-    while j:
-        room, n = capacity - j, lengths.counts[j]
-        i = lengths.longest(room)
-        if i == j and n < 2:
-            i = lengths.longest(j - 1)
-        small = lengths.two_least(besides=j)
-        if not i:
-            lengths.take(j, n)
-            fixed.append((n, [j]))
-        elif i == room or sum(small) > room or len(small) < 2:
-            n = n // 2 if i == j else min(n, lengths.counts[i])
-            lengths.take(j, n)
-            lengths.take(i, n)
-            fixed.append((n, [j, i]))
-        else:
-            j = lengths.longest(j - 1)
-            continue
-        j = lengths.longest(j)
+    fixed, before = [], None
+    while before != len(fixed):
+        before = len(fixed)
+        j = lengths.longest(capacity)
+        while j:
+            beside = companions(lengths, j, capacity - j)
+            if beside is None:
+                j = lengths.longest(j - 1)
+                continue
+            row = [j, *beside]
+            n = min(lengths.counts[k] // row.count(k) for k in row)
+            for k in row:
+                lengths.take(k, n)
+            fixed.append((n, row))
+            j = lengths.longest(j)
     return fixed
 
 
@@ -175,19 +219,20 @@ def best_fit_packing(docs: DataFrame, path: str, capacity: int = 4096, end_id: i
     gives an empty result.
     """
     spark = docs.sparkSession
-    pieces = saved(document_pieces(docs, path, capacity, end_id), "pieces")
-    bucketed = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    # a number of its own lets equal rows go to several buckets
+    pieces = saved(document_pieces(docs, path, capacity, end_id).withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    bucketed = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "_row"), F.lit(buckets)))
     cells = saved(bucketed.groupBy("length", "_bucket").agg(F.count("*").alias("_n")), "cells")
     counts = {r[0]: r[1] for r in cells.groupBy("length").agg(F.sum("_n")).collect()}  # at most capacity rows
     plan = spark.sparkContext.broadcast(packing_plan(counts, capacity))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = cells.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32", "_row")
     ranked = (
         bucketed.repartition(shuffle_width(spark), "length", "_bucket")
-        .withColumn("_row", F.row_number().over(within) - 1)
+        .withColumn("_within", F.row_number().over(within) - 1)
         .join(firsts, ["length", "_bucket"])
-        .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_first") + F.col("_row")).alias("_rank"))
+        .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_first") + F.col("_within")).alias("_rank"))
     )
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
