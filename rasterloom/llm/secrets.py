@@ -2,10 +2,9 @@
 
 Base patterns find spans in whole texts. A wider pattern finds further candidates: long runs that
 mix letters and digits. The hash of every value found is aggregated over the corpus by distinct
-repositories and owners. A value that several owners hold is a widely copied example; one that a
-single owner holds looks live. Wider candidates become spans only where they look live; base spans
-always stay. The decision is by owners alone, as OP2_SQL has it: repositories are counted, but a value
-in very many repositories of one owner counts as live, and one of just two owners as widely copied.
+repositories and owners. A value is a widely copied example where it is in several repositories of
+several owners, or in very many repositories of whomever; else it is specific to its owners and looks
+live. Wider candidates become spans only where they look live; base spans always stay.
 """
 
 from __future__ import annotations
@@ -23,8 +22,10 @@ def _either(word: str) -> str:
 # The kinds in their order, their patterns, the group that holds the value, its least length.
 ASSIGN = "(" + "|".join(_either(w) for w in ("password", "passwd", "secret", "token", "api_?key")) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = (("assign", ASSIGN, 2, 12), ("access", r"AKIA[A-Z0-9]+", 0, 18), ("hex", r"[0-9a-f]{16,}", 0, 16))
-#: Wider candidates: their kind and pattern, and the owners from which on a value is widely copied.
-OWNED, WIDE, SHARED = "owned", r"[A-Za-z0-9_+/=-]{24,}", 2
+#: Wider candidates: their kind and pattern.
+OWNED, WIDE = "owned", r"[A-Za-z0-9_+/=-]{24,}"
+#: A value is widely copied from so many owners on, if it is in so many repositories, too, or from so many repositories on.
+OWNERS, REPOSITORIES, VERY_MANY = 2, 3, 50
 SPAN = "array<struct<start:long,kind:int,end:long,value:string>>"
 #: Matches that are added up in one go; a text of very many matches is worked off in chunks of these.
 CHUNK = 256
@@ -79,11 +80,12 @@ def secret_spans(docs: DataFrame, repository: str = "doc_id", owner: str = "sour
     scanned = scanned.select("doc_id", "repository", "owner", F.array_sort(hashed(F.col("base"))).alias("base"), hashed(apart).alias("wide"), F.monotonically_increasing_id().alias("row_key"))
     scanned = saved(scanned, "scanned")
     values = saved(scanned.where("size(base) + size(wide) > 0").select("row_key", "repository", "owner", F.explode(F.concat("base", "wide")).alias("span")).select("row_key", "repository", "owner", "span", F.col("span.value").alias("value")), "values")
-    # pre-aggregated by value, owner and repository, so a value of very many documents is no one task's work
-    owners = values.select("value", "owner", "repository").distinct().groupBy("value", "owner").agg(F.count("*").alias("n")).groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
-    owners = saved(owners, "owners")
+    # distinct rows of value, owner and repository first, so a value of very many documents is no one task's work
+    held = values.select("value", F.coalesce("owner", F.lit("\1")).alias("owner"), F.coalesce("repository", F.lit("\1")).alias("repository")).distinct()
+    owners = saved(held.groupBy("value").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories")), "owners")
+    shared = (F.col("owners") >= OWNERS) & (F.col("repositories") >= REPOSITORIES) | (F.col("repositories") >= VERY_MANY)
     # both sides are tables, so that the join itself can split the values that very many rows have
-    judged = values.join(owners, "value").select("row_key", "span", (F.col("owners") >= SHARED).alias("shared"))
+    judged = values.join(owners, "value").select("row_key", "span", shared.alias("shared"))
     per_row = judged.groupBy("row_key").agg(
         F.array_sort(F.collect_list(F.when(~F.col("shared") & (F.col("span.kind") == len(KINDS)), F.col("span")))).alias("added"),
         F.count_if("shared").alias("n_shared"),
@@ -135,8 +137,8 @@ base AS ({" UNION ALL ".join(_sql_kind(i, n, p, g, f"length(v) >= {least}") for
 wide AS (SELECT * FROM ({_sql_kind(len(KINDS), OWNED, WIDE, 0, "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')")}) c
          WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.start_at < c.end_at AND c.start_at < b.end_at)),
 everything AS (SELECT * FROM base UNION ALL SELECT * FROM wide),
-owners AS (SELECT value, count(DISTINCT coalesce(source, chr(1))) AS n FROM everything GROUP BY value),
-judged AS (SELECT e.*, o.n >= {SHARED} AS shared FROM everything e JOIN owners o USING (value)),
+owners AS (SELECT value, count(DISTINCT coalesce(source, chr(1))) AS n, count(DISTINCT doc_id) AS r FROM everything GROUP BY value),
+judged AS (SELECT e.*, (o.n >= {OWNERS} AND o.r >= {REPOSITORIES}) OR o.r >= {VERY_MANY} AS shared FROM everything e JOIN owners o USING (value)),
 rows_of AS (SELECT doc_id, count(*) FILTER (name = 'assign') AS n_assign, count(*) FILTER (name = 'access') AS n_access, count(*) FILTER (name = 'hex') AS n_hex,
        string_agg(name || ':' || start_at || ':' || end_at, ',' ORDER BY start_at, kind) FILTER (kind < {len(KINDS)}) AS b,
        string_agg(name || ':' || start_at || ':' || end_at, ',' ORDER BY start_at, kind) FILTER (kind < {len(KINDS)} OR NOT shared) AS a,
