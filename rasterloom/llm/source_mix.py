@@ -1,7 +1,7 @@
 """Mixing sources to target weights.
 
-Words of a source are packed into blocks of a fixed length (documents by buckets of bounded size, so
-no source is one task's work). For each output shard, the driver draws how many of its slots each
+Words of a source are packed into blocks of a fixed length, shorter for sources of few words (documents by
+buckets of bounded size and number, so no source is one task's work). For each output shard, the driver draws how many of its slots each
 source gets: a multinomial draw from the slots that the sources have left, so that the draws of all
 shards end at the sources' targets. Slot t of a source takes block P(t mod n), P a pseudorandom
 permutation of its n blocks that changes with each pass. Blocks are then joined by index.
@@ -20,6 +20,8 @@ from rasterloom.llm.common import saved, shuffle_width, table, word_count
 
 #: Words of a block, of a bucket of blocks, output shards, slots that one row stands for before they are listed.
 BLOCK, BUCKET, SHARDS, RUN = 64, 1 << 18, 64, 1 << 16
+#: Blocks that a source has at least, if it has the words, and documents of a bucket.
+LEAST_BLOCKS, BUCKET_ROWS = 1024, 1 << 16
 #: Sources live on the driver (their weights are its input); more of them are refused.
 MAX_SOURCES = 100_000
 
@@ -90,14 +92,17 @@ def source_mix(docs: DataFrame, weights=(1.0, 2.0, 3.0), most: float = 3.0, bloc
     """
     spark = docs.sparkSession
     sized = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size")), "sized")
-    sizes = [(r[0], r[1]) for r in sized.groupBy("source").agg(F.sum("size")).limit(MAX_SOURCES + 1).collect()]
+    sizes = [(r[0], r[1], r[2]) for r in sized.groupBy("source").agg(F.sum("size"), F.count("*")).limit(MAX_SOURCES + 1).collect()]
     if len(sizes) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     sizes.sort(key=lambda r: (r[0] is None, (r[0] or "").encode("utf-8", "surrogatepass")))
-    targets = water_filled([s for _, s in sizes], [weights[i % len(weights)] for i in range(len(sizes))], most)
+    targets = water_filled([s for _, s, _ in sizes], [weights[i % len(weights)] for i in range(len(sizes))], most)
     sources = spark.createDataFrame(
-        [(name, i, size, target, max(1, -(-size // BUCKET))) for i, ((name, size), target) in enumerate(zip(sizes, targets))],
-        "source string, source_no int, source_size long, target double, buckets long",
+        [
+            (name, i, size, target, max(1, -(-size // BUCKET), -(-rows // BUCKET_ROWS)), max(1, min(block, size // LEAST_BLOCKS)))
+            for i, ((name, size, rows), target) in enumerate(zip(sizes, targets))
+        ],
+        "source string, source_no int, source_size long, target double, buckets long, block_words long",
     )
     # at most MAX_SOURCES rows of a name and four numbers
     known = sized.join(F.broadcast(sources.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
@@ -110,12 +115,12 @@ def source_mix(docs: DataFrame, weights=(1.0, 2.0, 3.0), most: float = 3.0, bloc
         .drop("_row"),
         "packed",
     )
-    cells = documents.groupBy("source_no", "bucket").agg(F.sum("size").alias("_words")).withColumn("_blocks", F.ceil(F.col("_words") / block))
+    cells = documents.groupBy("source_no", "bucket").agg(F.sum("size").alias("_words"), F.first("block_words").alias("_w")).withColumn("_blocks", F.ceil(F.col("_words") / F.col("_w")))
     before = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = saved(cells.select("source_no", "bucket", "_blocks", F.coalesce(F.sum("_blocks").over(before), F.lit(0)).alias("_base")), "cells")
     blocks = {r[0]: r[1] for r in cells.groupBy("source_no").agg(F.sum("_blocks")).collect()}  # a row a source
     n_blocks = [int(blocks.get(i) or 0) for i in range(len(sizes))]
-    quotas = [min(int(most * n), round(n * t / s)) if s else 0 for n, t, (_, s) in zip(n_blocks, targets, sizes)]
+    quotas = [min(int(most * n), round(n * t / s)) if s else 0 for n, t, (_, s, _) in zip(n_blocks, targets, sizes)]
     runs = spark.createDataFrame(
         [(shard, s, slot, first, n, n_blocks[s]) for shard, s, slot, first, n in draws(quotas, shards, seed)],
         "shard int, source_no int, slot long, first long, n long, n_blocks long",
@@ -139,12 +144,12 @@ def source_mix(docs: DataFrame, weights=(1.0, 2.0, 3.0), most: float = 3.0, bloc
     parts = (
         documents.where("size > 0")
         .join(cells.select("source_no", "bucket", "_base"), ["source_no", "bucket"])
-        .withColumn("_b", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
-        .withColumn("_from", F.greatest(F.col("start"), F.col("_b") * block))
+        .withColumn("_b", F.explode(F.expr("sequence(start div block_words, (start + size - 1) div block_words)")))
+        .withColumn("_from", F.greatest(F.col("start"), F.col("_b") * F.col("block_words")))
         .select(
             "source_no", "bucket", "row_key", "doc_id", (F.col("_base") + F.col("_b")).alias("block"),
             (F.col("_from") - F.col("start")).alias("first_word"),
-            (F.least(F.col("start") + F.col("size"), (F.col("_b") + 1) * block) - F.col("_from")).alias("n_words"),
+            (F.least(F.col("start") + F.col("size"), (F.col("_b") + 1) * F.col("block_words")) - F.col("_from")).alias("n_words"),
         )
     )
     key = F.struct("source_no", "bucket", "row_key").alias("row_key")
