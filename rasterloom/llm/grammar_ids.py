@@ -194,7 +194,8 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 1, shard_ids:
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .withColumn("_h", F.xxhash64("text"))
-        .repartitionByRange(shuffle_width(spark), "doc_id", "_h")
+        .withColumn("_n", F.monotonically_increasing_id())  # equal rows do not have to go to one task
+        .repartitionByRange(shuffle_width(spark), "doc_id", "_h", "_n")
         .sortWithinPartitions("doc_id", "_h")
         .select("doc_id", "text", F.spark_partition_id().alias("part"))
     )

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -84,8 +85,9 @@ class Counts(dict):
         return n
 
 
+@cache
 def counter(path: str) -> Callable[[str], int]:
-    """The function that counts a text's tokens with the vocabulary file at path."""
+    """The worker's one function that counts a text's tokens with the vocabulary file at path."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
