@@ -18,12 +18,24 @@ from rasterloom.llm.language_id import COLUMNS, UNKNOWN, Model, fit, in_fold, la
 from rasterloom.llm.secrets import redacted, secret_spans
 from rasterloom.llm.source_mix import source_mix
 
-#: The row number that joins decisions back; docs is a table, so it is the same in each scan.
-ROW = "__row"
+#: A language is told where it is at least as likely as all others together.
+LEAST_SCORE = 0.5
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names that no column of docs has."""
+    out: list[str] = []
+    for name in names:
+        while name.lower() in {c.lower() for c in (*docs.columns, *out)}:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(docs with a number for each row, written once, so that it is the same wherever it is read; its name)."""
+    [row] = fresh(docs, "row_number")
+    return saved(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
 def with_text(docs: DataFrame, text) -> DataFrame:
@@ -33,48 +45,55 @@ def with_text(docs: DataFrame, text) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of texts with letters: a model, fitted on three of four folds, names a language for each
-    of them, however low its score, so only texts without letters go. Where those folds name no language,
-    the same is done without a model of one."""
+    """Documents whose language is told, by a model fitted on three of four folds; a null lang becomes the
+    predicted one. Rejected are texts without letters, and those of which no language is as likely as all
+    others together (a score below LEAST_SCORE). Where those folds name no language, there is nothing to tell: only
+    texts without letters go, and lang stays null."""
     model = fit(docs.where(~in_fold("doc_id")))
-    if not model.names:
+    known = bool(model.names)
+    if not known:
         model = Model.of({"any": (1, np.zeros(COLUMNS))})
-    return docs.where(language_of(model, F.col("text")) != UNKNOWN)
+    [found] = fresh(docs, "found_language")
+    told = docs.withColumn(found, language_of(model, F.col("text"))).where((F.col(found)["lang"] != UNKNOWN) & (F.col(found)["score"] >= LEAST_SCORE))
+    return told.select(*(F.coalesce(c, F.col(found)["lang"]).alias(c) if c == "lang" and known else F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of similar ones (five words, 0.8): that of the smallest id, null after all
     others. Rows of equal or null ids are rows of their own. Texts without words stay."""
-    rows = numbered(docs)
-    groups = jaccard_components(rows.select(F.col(ROW).alias("doc_id"), "text"), words=5, num=4, den=5).select(F.col("doc_id").alias(ROW), "component_id")
-    members = saved(rows.select(ROW, "doc_id").join(groups, ROW), "members")
-    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW))[ROW].alias(ROW))
-    dropped = saved(members.join(first, ROW, "left_anti").select(ROW), "dropped")
-    return rows.join(dropped, ROW, "left_anti").select(*docs.columns)
+    rows, row = numbered(docs)
+    groups = jaccard_components(rows.select(F.col(row).alias("doc_id"), "text"), words=5, num=4, den=5).select(F.col("doc_id").alias(row), "component_id")
+    members = saved(rows.select(row, "doc_id").join(groups, row), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row))[row].alias(row))
+    dropped = saved(members.join(first, row, "left_anti").select(row), "dropped")
+    return rows.join(dropped, row, "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts replaced by a mark."""
-    rows = numbered(docs)
-    spans = secret_spans(rows.select(F.col(ROW).alias("doc_id"), "source", "text")).select(F.col("doc_id").alias(ROW), F.concat("base", "added").alias("__spans"))
-    spans = saved(spans.where(F.size("__spans") > 0), "spans")
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("__spans")))
-    return with_text(rows.join(spans, ROW, "left"), text).select(*docs.columns)
+    rows, row = numbered(docs)
+    [own] = fresh(rows, "own_spans")
+    spans = secret_spans(rows.select(F.col(row).alias("doc_id"), "source", "text")).select(F.col("doc_id").alias(row), F.concat("base", "added").alias(own))
+    spans = saved(spans.where(F.size(own) > 0), "spans")
+    text = F.when(F.col(own).isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col(own)))
+    return with_text(rows.join(spans, row, "left"), text).select(*(f"`{c}`" for c in docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as documents: a row for each time that words of a document are taken. A row that takes
     all its words keeps its text; one that takes some has their runs. Texts without words go."""
-    rows = numbered(docs)
-    _, mix = source_mix(rows.select(F.col(ROW).alias("doc_id"), "source", "text"))
-    runs = mix.groupBy(F.col("doc_id").alias(ROW), "first_word").agg(F.first("n_words").alias("n"), F.count("*").alias("times"))
-    turns = runs.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    taken = saved(turns.groupBy(ROW, "__turn").agg(F.array_sort(F.collect_list(F.struct("first_word", "n"))).alias("__runs"), F.sum("n").alias("__n")), "taken")
+    rows, row = numbered(docs)
+    turn, runs_of, words_of = fresh(rows, "own_turn", "own_runs", "own_words")
+    _, mix = source_mix(rows.select(F.col(row).alias("doc_id"), "source", "text"))
+    runs = mix.groupBy(F.col("doc_id").alias(row), "first_word").agg(F.first("n_words").alias("n"), F.count("*").alias("times"))
+    turns = runs.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    taken = turns.groupBy(row, turn).agg(F.array_sort(F.collect_list(F.struct("first_word", "n"))).alias(runs_of), F.sum("n").alias(words_of))
+    taken = saved(taken.select(row, runs_of, words_of), "taken")
     words = F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)")
     size = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
-    some = F.array_join(F.flatten(F.transform("__runs", lambda r: F.slice(words, r["first_word"].cast("int") + 1, r["n"].cast("int")))), " ")
-    text = F.when(F.col("__n") == size, F.col("text")).otherwise(some)
-    return with_text(rows.join(taken, ROW), text).select(*docs.columns)
+    some = F.array_join(F.flatten(F.transform(runs_of, lambda r: F.slice(words, r["first_word"].cast("int") + 1, r["n"].cast("int")))), " ")
+    text = F.when(F.col(words_of) == size, F.col("text")).otherwise(some)
+    return with_text(rows.join(taken, row), text).select(*(f"`{c}`" for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
