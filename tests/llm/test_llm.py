@@ -361,6 +361,127 @@ def test_packing_plan_is_near_the_bound():
         assert len(weight) <= -(-lengths.sum() // 64) * 1.1 + 2
 
 
+def brute_sequences(lengths, capacity):
+    """The least number of sequences, by trying all."""
+    best = [len(lengths)]
+    order = sorted(lengths, reverse=True)
+
+    def place(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(order):
+            best[0] = len(rooms)
+            return
+        for r in sorted(set(rooms)):
+            if r >= order[k]:
+                rest = list(rooms)
+                rest.remove(r)
+                place(k + 1, [*rest, r - order[k]])
+        place(k + 1, [*rooms, capacity - order[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_dominance_loses_no_sequence():
+    rng = np.random.default_rng(5)
+    pairs = 0
+    for _ in range(400):
+        lengths = rng.integers(1, 21, rng.integers(1, 11)).tolist()
+        left = best_fit.Lengths(dict(Counter(lengths)))
+        fixed = best_fit.reduced(left, 20)
+        rest = [k for k, n in left.counts.items() for _ in range(n)]
+        assert sorted(rest + [k for n, row in fixed for k in row * n]) == sorted(lengths)
+        assert all(sum(row) <= 20 for _, row in fixed)
+        assert sum(n for n, _ in fixed) + brute_sequences(rest, 20) == brute_sequences(lengths, 20)
+        pairs += any(len(row) == 3 for _, row in fixed)
+    assert pairs > 5
+
+
+def brute_languages(rows):
+    """Multinomial naive Bayes over the same n-grams, one by one."""
+    grams = {}
+    for text, lang in rows:
+        if lang and language_id.letters(text):
+            own = grams.setdefault(lang, [0, Counter()])
+            own[0] += 1
+            own[1].update(language_id.columns(language_id.letters(text)).tolist())
+
+    def predict(text):
+        if not language_id.letters(text):
+            return "und"
+        best = {}
+        for lang, (n, seen) in grams.items():
+            total = sum(seen.values()) + 0.5 * language_id.COLUMNS
+            best[lang] = np.log(n / sum(v[0] for v in grams.values())) + sum(np.log((seen[c] + 0.5) / total) for c in language_id.columns(language_id.letters(text)).tolist())
+        return min(best, key=lambda k: (-best[k], k))
+
+    return predict
+
+
+def test_language_id_against_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "GATHERED", 4096)
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in table.collect()]
+    fold = lambda d: zlib.crc32(str(d).encode()) % 4 == 2
+    predict = brute_languages([(t, lang) for d, t, lang in rows if not fold(d)])
+    got = {r["doc_id"]: r for r in language_id.language_id(table, language_id.fit(table.where(~language_id.in_fold("doc_id")))).collect()}
+    assert all(got[d]["lang_pred"] == predict(t) for d, t, _ in rows if fold(d))
+    ties = language_id.Model.of({k: (1, np.zeros(language_id.COLUMNS)) for k in ("b", "a")})
+    assert ties.predictions(["x", "", "y" * 9000]) == [("a", 0.5), ("und", 0.0), ("a", 0.5)]
+
+
+def test_values_by_repositories_and_owners(spark):
+    value = lambda c: f"{c}Zz9" * 8
+    rows = [(i, f"see {value('a')}", f"s{i}") for i in range(2)] + [(10 + i, f"see {value('b')}", f"s{i % 2}") for i in range(3)] + [(100 + i, f"see {value('c')}", "one") for i in range(secrets.VERY_MANY)]
+    rows += [(300 + i, f"see {value('d')}", "one") for i in range(10)] + [(400 + i, f"see {value('e')}", None) for i in range(2)]
+    got = secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r["doc_id"] for r in got if r["n_shared"]} == {r[0] for r in rows if 10 <= r[0] < 300}
+    assert all(len(r["added"]) == 1 - r["n_shared"] for r in got)
+
+
+def test_source_mix_of_small_sources_and_empty_texts(spark, monkeypatch):
+    monkeypatch.setattr(source_mix, "BUCKET_ROWS", 10)
+    rows = [(i, "a b c d e f", "small") for i in range(10)] + [(100 + i, "w " * 500, "large") for i in range(20)] + [(200 + i, "", "none") for i in range(100)]
+    got = source_mix.mix_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    sums = {}
+    for r in got:
+        own = sums.setdefault((r["source_size"], r["target"]), [0, 0])
+        own[0] += r["taken"]
+        own[1] += 1
+        assert r["taken"] <= 3 * r["size"]
+    # by code point: large, none, small weigh 1, 2, 3; none has nothing to give, small at most 180
+    assert {k: v[1] for k, v in sums.items()} == {(10_000, 9_880.0): 20, (0, 0.0): 100, (60, 180.0): 10}
+    assert all(abs(v[0] - k[1]) <= 0.02 * k[1] for k, v in sums.items())
+
+
+@pytest.mark.parametrize("names", [("row_number", "found_language"), ("own_spans", "own_turn"), ("__row", "component_id")])
+def test_pipeline_keeps_columns_of_any_name(spark, names):
+    import corpus_pipeline as C
+
+    rows = [(i, t, None, "s", "mine", "too") for i, t in enumerate([None, "", "a few words that are here", "token=abcdefabcdefabcdef " * 3, "one two three four five six"] * 2)]
+    docs = C.saved(spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, `{names[0]}` string, `{names[1]}` string"), "docs")
+    for name, stage in C.STAGES[:-1]:
+        before, docs = docs.columns, C.saved(stage(spark, docs, ""), name)
+        assert docs.columns == before
+        assert {tuple(r) for r in docs.select(*names).collect()} == {("mine", "too")}
+    none = docs.where("doc_id < 0")
+    for _, stage in C.STAGES:
+        assert stage(spark, C.saved(none, "none"), "").count() == 0
+
+
+def test_pipeline_tells_null_languages(spark, sf):
+    import corpus_pipeline as C
+    from pyspark.sql import functions as F
+
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = C.saved(table.withColumn("lang", F.when(F.col("doc_id") % 7 > 0, F.col("lang"))), "docs")
+    got = {r["doc_id"]: r["lang"] for r in C.language(spark, docs, sf).collect()}
+    want = {r["doc_id"]: r["lang"] for r in table.collect() if language_id.letters(r["text"])}
+    assert set(got) == set(want)
+    assert np.mean([got[d] == want[d] for d in want]) > 0.97
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as C
 
