@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import struct
 
-from rasterloom.sources.png import ImageError
+from rasterloom.functions.errors import ImageError
+from rasterloom.sources import jpeg
 
 # Fixed values of the formats: bytes of each value type, tags that point to other directories.
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4}
@@ -87,32 +88,20 @@ def orientation(found: list[dict]) -> int:
     return int(value) if value in "12345678" and len(value) == 1 else 1
 
 
+def quick_orientation(block: bytes) -> int:
+    """orientation() from the first directory alone; 1 where it cannot be read."""
+    order = {b"II": "<", b"MM": ">"}.get(block[:2])
+    try:
+        (at,) = struct.unpack_from(order + "I", block, 4)
+        for k in range(struct.unpack_from(order + "H", block, at)[0]):
+            tag, kind, count, value = struct.unpack_from(order + "HHIH", block, at + 2 + 12 * k)
+            if tag == 0x0112:
+                return value if kind == 3 and count and 1 <= value <= 8 else 1
+    except (struct.error, TypeError):
+        pass
+    return 1
+
+
 def segments(data: bytes) -> list[dict]:
-    """ord, marker, length, data of each JPEG segment, and the entropy-coded bytes that follow a scan's head.
-
-    Bytes between segments are skipped; a missing end of image is let pass.
-    """
-    if data[:2] != b"\xff\xd8":
-        raise ImageError("UNSUPPORTED_FORMAT", "not a JPEG file")
-    out, at = [], 2
-    while (at := data.find(b"\xff", at)) >= 0:
-        while at + 1 < len(data) and data[at + 1] == 0xFF:
-            at += 1
-        if at + 1 >= len(data) or data[at + 1] == 0xD9:
-            break
-        marker = data[at + 1]
-        at += 2
-        if marker in (0x00, 0x01) or 0xD0 <= marker <= 0xD8:
-            continue
-        size = int.from_bytes(data[at : at + 2], "big")
-        if size < 2 or at + size > len(data):
-            raise ImageError("CORRUPT", f"segment {marker:#x} is cut")
-        body, at, coded = data[at + 2 : at + size], at + size, 0
-        if marker == 0xDA:
-            end = at
-            while 0 <= (end := data.find(b"\xff", end)) < len(data) - 1 and (data[end + 1] == 0 or 0xD0 <= data[end + 1] <= 0xD7):
-                end += 2
-            end = end if end >= 0 else len(data)
-            coded, at = end - at, end
-        out.append({"ord": len(out), "marker": marker, "length": len(body), "coded": coded, "data": body})
-    return out
+    """ord, marker, length, data of each JPEG segment, and the entropy-coded bytes that follow a scan's head."""
+    return [{"ord": i, "marker": s.marker, "length": len(s.body), "coded": len(s.coded), "data": s.body} for i, s in enumerate(jpeg.parsed(data)[0])]
