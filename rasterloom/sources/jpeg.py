@@ -174,21 +174,21 @@ def codes_of(counts: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=16)
-def look_up(counts: bytes, symbols: bytes) -> list[int]:
+def look_up(counts: bytes, symbols: bytes) -> array:
     """By 16 bits: symbol << 5 | length of the code that they begin with, 0 where there is none."""
     out = np.zeros(1 << 16, np.int64)
     _, lengths = codes_of(counts)
     filled = np.repeat(np.frombuffer(symbols, np.uint8).astype(np.int64) << 5 | lengths, 1 << (16 - lengths))
     out[: len(filled)] = filled
-    return out.tolist()
+    return array("q", out.tobytes())
 
 
 @lru_cache(maxsize=16)
-def look_up_values(counts: bytes, symbols: bytes) -> list[int]:
+def look_up_values(counts: bytes, symbols: bytes) -> array:
     """By 16 bits, of a code of run and size with the bits of its value: value << 16 | places to go ahead << 8 |
     all bits. An end of block goes 64 ahead. Bit 7 is set where value bits are not within the 16, and all is 0
     where there is no code."""
-    table = np.array(look_up(counts, symbols))
+    table = np.frombuffer(look_up(counts, symbols), np.int64)
     window, length, symbol = np.arange(1 << 16), table & 31, table >> 5
     run, size = symbol >> 4, symbol & 15
     fits = length + size <= 16
@@ -196,7 +196,7 @@ def look_up_values(counts: bytes, symbols: bytes) -> list[int]:
     value = np.where(size == 0, 0, np.where(bits >> np.maximum(size - 1, 0), bits, bits - (1 << size) + 1))
     run = np.where((size == 0) & (run < 15), 64, run)
     out = np.where(fits, value << 16 | run << 8 | length + size, run << 8 | 1 << 7 | length)
-    return np.where(length == 0, 0, out).tolist()
+    return array("q", np.where(length == 0, 0, out).tobytes())
 
 
 # ---- decoding
@@ -226,7 +226,7 @@ class Bits:
         self.at += n
         return out
 
-    def symbol(self, table: list[int]) -> int:
+    def symbol(self, table: array) -> int:
         found = table[self.peek()]
         if not found:
             raise bad("no such Huffman code")
@@ -411,7 +411,7 @@ def dc_scan(bits: Bits, part: list, dc: list, high: int, low: int) -> None:
                     out[place] = before[k] << low
 
 
-def ac_scan(bits: Bits, part: tuple, table: list[int], first: int, last: int, low: int, zigzag: list[int]) -> None:
+def ac_scan(bits: Bits, part: tuple, table: array, first: int, last: int, low: int, zigzag: list[int]) -> None:
     _, out, places = part
     ended = 0
     for place in places[:, 0].tolist():
@@ -435,7 +435,7 @@ def ac_scan(bits: Bits, part: tuple, table: list[int], first: int, last: int, lo
                 break
 
 
-def ac_refined(bits: Bits, part: tuple, table: list[int], first: int, last: int, low: int, zigzag: list[int]) -> None:
+def ac_refined(bits: Bits, part: tuple, table: array, first: int, last: int, low: int, zigzag: list[int]) -> None:
     _, out, places = part
     ended, step = 0, 1 << low
 
