@@ -61,3 +61,34 @@ def apng_delay(numerator: int, denominator: int) -> tuple[int, int]:
 def exact_delay(numerator: int, denominator: int) -> tuple[int, int]:
     value = Fraction(numerator, denominator or 100)
     return value.numerator, value.denominator
+
+
+def nearest_scaled(raster: np.ndarray, width: int, height: int) -> np.ndarray:
+    """A smaller raster of the samples nearest to its pixels' centres."""
+    h, w = raster.shape[:2]
+    ys, xs = (np.minimum(n - 1, ((np.arange(m) + 0.5) * n / m).astype(int)) for n, m in ((h, height), (w, width)))
+    return raster[ys[:, None], xs]
+
+
+def box_scaled(raster: np.ndarray, width: int, height: int) -> np.ndarray:
+    """A smaller raster of the means of the samples that each of its pixels covers."""
+    h, w = raster.shape[:2]
+    cells = [np.minimum(m - 1, np.arange(n) * m // n) for n, m in ((h, height), (w, width))]
+    firsts = [np.searchsorted(c, np.arange(m)) for c, m in zip(cells, (height, width))]
+    sums = np.add.reduceat(np.add.reduceat(raster.astype(np.float64), firsts[0], axis=0), firsts[1], axis=1)
+    counts = np.bincount(cells[0], minlength=height)[:, None] * np.bincount(cells[1], minlength=width)
+    return np.clip(np.floor(sums / counts[:, :, None] + 0.5), 0, 255).astype(np.uint8)
+
+
+def reveal_plan(effect: str, width: int, height: int, tile: tuple[int, int] | None = None, tiles: int = 0, fit: int = 0, most: int = 1_500_000, most_tiles: int = 6000) -> tuple[str, int, int]:
+    """(effect, width, height) that a picture is shown with: large ones are scaled to fit, and by whole
+    pixels of a tile where tiles move."""
+    if effect == "blocks" and not (tile and 0 < tiles <= most_tiles):
+        effect = "dissolve"
+    scale = 1.0
+    if width * height > most:
+        scale = (min(most, fit or most) / (width * height)) ** 0.5
+        if effect == "blocks":
+            unit = gcd(*tile)
+            scale = max(1, int(scale * unit)) / unit
+    return effect if effect in ("scan", "blocks") else "dissolve", max(1, int(width * scale)), max(1, int(height * scale))

@@ -824,6 +824,12 @@ def scrambled(data: bytes, key: bytes, salt: bytes | None = None, transforms: bo
     return file_of(segments, moved(frame, perm, codes, False), key, p, check, again, watermark, visible)
 
 
+def without_exif(data: bytes) -> bytes:
+    """The file without its EXIF segments, so that no viewer turns the picture."""
+    segments, trailing = parsed(data)
+    return written([s for s in segments if not (s.marker == 0xE1 and s.body.startswith(b"Exif"))], trailing)
+
+
 def marker_of(segments: list[Segment]) -> tuple[Params, bytes]:
     body = own_part(segments, SIGNATURE)
     if body is None:

@@ -1 +1 @@
-
+"""Structured streams over files."""

@@ -17,7 +17,8 @@ from rasterloom.metadata import exif, icc, iptc, policy, previews, text, xmp
 from rasterloom.metadata.tags import TAGS, tag_by_name, tag_name
 from rasterloom.operators import files
 from rasterloom.sources import detect, gif, images, jpeg, jpeg_pixels, jxl, png, raster, sink, stores
-from rasterloom.watermark import carried, definition, paint, render
+from rasterloom.streaming import files as streams
+from rasterloom.watermark import carried, compile, definition, paint, render
 
 
 def refused(code, call, *args, **options):
@@ -645,6 +646,36 @@ def test_painting():
     assert indexed[0, :, 0].tolist() == [0, 1, 1, 0]
 
 
+def glyph(font, c):
+    """Squares for letters, nothing for spaces, in a font of one name."""
+    return None if font != "Boxes" or c == "?" else (0.6, "" if c == " " else "M0 -0.7L0.5 -0.7L0.5 0L0 0Z")
+
+
+def test_compiling():
+    wanted = {"id": "x", "text": "ab\nc", "font": "Boxes", "align": "right", "letterSpacing": 0.1, "fill": {"type": "linear", "angle": 90, "stops": [{"at": 0, "color": "#000"}, {"at": 1, "color": "#ffffff80"}]}, "ornaments": [{"shape": s} for s in ("sparkle", "star", "diamond", "dot", "heart")] + [{"shape": "line", "position": "below", "size": 1}, {"shape": "image", "src": "logo.png", "position": "top-left"}], "background": {"border": {}}, "stroke": {}}
+    made = compile.compile_watermark(wanted, glyph, {"logo.png": png_of(with_alpha(gradient(9, 6)))}.get)
+    first, second = made["shapes"][0]["d"], made["shapes"][1]["d"]
+    assert first == "M0 -700L500 -700L500 0L0 0ZM700 -700L1200 -700L1200 0L700 0Z" and second == "M700 500L1200 500L1200 1200L700 1200Z"
+    assert made["shapes"][0]["fill"]["dir"] == [1.0, 0.0] and len(made["shapes"]) == 9 and made["shapes"][-1]["image"]["width"] == 9
+    assert compile.bounds(["M0 0Q50 100 100 0Z"]) == pytest.approx((0, 0, 100, 50)) and compile.bounds([made["shapes"][5]["d"]])[2] > 1200
+    assert render.rendered(made, 800, 600) is not None
+    picture = compile.svg(made)
+    import xml.etree.ElementTree as tree
+
+    assert len(tree.fromstring(picture).findall("{*}path")) == 8 and "linearGradient" in picture
+    refused("BAD_WATERMARK", compile.compile_watermark, {**wanted, "font": "None"}, glyph)
+    refused("BAD_WATERMARK", compile.compile_watermark, wanted, glyph)
+
+
+def test_scaling():
+    raster_ = np.arange(64, dtype=np.uint8).reshape(4, 16, 1)
+    assert geometry.nearest_scaled(raster_, 4, 2)[:, :, 0].tolist() == [[18, 22, 26, 30], [50, 54, 58, 62]]
+    assert geometry.box_scaled(raster_, 4, 2)[:, :, 0].tolist() == [[10, 14, 18, 22], [42, 46, 50, 54]]
+    assert geometry.reveal_plan("blocks", 4000, 3000, (16, 16), 100, 1_000_000) == ("blocks", 1000, 750) and geometry.reveal_plan("none", 10, 10) == ("dissolve", 10, 10)
+    photo = jpeg_pixels.jpeg_file(gradient(8, 8), {"exif": phone()})
+    assert jpeg.orientation_of(jpeg.parsed(photo)[0]) == 6 and jpeg.orientation_of(jpeg.parsed(jpeg.without_exif(photo))[0]) == 1
+
+
 def test_carried_watermarks():
     assert carried.decoded(carried.encoded({"id": "x"})) == {"id": "x", "name": None, "compiled": None}
     assert carried.decoded(carried.encoded(MARK))["compiled"] == MARK
@@ -692,6 +723,22 @@ def test_columns_over_files(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["one.scrambled.png", "two.scrambled.jpg"]
 
 
+def test_stream_of_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    data = png_of(with_alpha(gradient(20, 20)))
+    for name, content in (("a.png", data), ("b.png", data), ("c.png", b"junk")):
+        (tmp_path / "in" / name).write_bytes(content)
+    bad = []
+    for _ in range(2):
+        found = streams.once_each(images.image_files(spark, str(tmp_path / "in"), 10**6, stream=True))
+        query = streams.written(found, images.scrambled(F.col("content"), "key", F.lit(b"s")), sink.output_name("encode", F.col("path"), F.lit("png")), str(tmp_path / "out"), str(tmp_path / "state"), lambda rows: bad.extend(rows.collect()))
+        query.awaitTermination(120)
+        assert query.exception() is None
+    names = sorted(p.name for p in (tmp_path / "out").iterdir())
+    assert names in (["a.scrambled.png"], ["b.scrambled.png"]) and [r["code"] for r in bad] == ["UNSUPPORTED"]
+    assert files.decode((tmp_path / "out" / names[0]).read_bytes(), "key") == png_of(with_alpha(gradient(20, 20)))
+
+
 def test_faults_become_codes(spark):
     row = spark.sql("SELECT cast('x' AS binary) AS c").select(images.per_file(lambda c: 1 / 0, images.FILE, F.col("c"))["code"], images.png_scrambled(F.lit(png_of(with_alpha(gradient(9, 9)))), b"k", F.lit(bytes(300)))["code"], images.png_scrambled(F.lit(png_of(with_alpha(gradient(9, 9)))), b"k", F.lit(b"s"), "block")["code"]).first()
     assert tuple(row) == ("FAULT", "BAD_OPTION", "BAD_OPTION")
