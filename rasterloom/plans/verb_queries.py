@@ -39,6 +39,11 @@ def square(cells, scale: int = 1) -> np.ndarray:
     return np.dstack([v, v, v, np.full_like(v, 255)])
 
 
+def spread(spark, d):
+    """Grids dealt to all cores: few rows, and much work for each."""
+    return grids(spark, d).repartition(spark.sparkContext.defaultParallelism)
+
+
 def salt():
     return F.col("vec_id").cast("string").cast("binary")
 
@@ -60,7 +65,7 @@ def jpeg_file_roundtrip(spark, d):
         flat = jpeg.read(data)[1].components[0].coefs[0, 0]
         return {"c": [{"idx": i, "c": int(flat[i])} for i in (0, 4, 32, 36)]}
 
-    f = grids(spark, d).select("vec_id", images.per_file(grey_jpeg, images.FILE, F.col("g"))["content"].alias("f"))
+    f = spread(spark, d).select("vec_id", images.per_file(grey_jpeg, images.FILE, F.col("g"))["content"].alias("f"))
     f = f.withColumn("f", images.scrambled(F.col("f"), KEY, salt())["content"])
     f = f.withColumn("f", images.rekeyed(F.col("f"), KEY, b"new", salt())["content"])
     f = f.withColumn("c", images.per_file(read_back, "struct<c:array<struct<idx:int,c:bigint>>,code:string>", images.restored(F.col("f"), b"new")["content"])["c"])
@@ -76,7 +81,7 @@ def scramble_moves_pixels(spark, d):
         mixed = raster.decoded(files.encode(raster.png_file(raster.Picture(plain))[0], KEY, b"s", transforms=False, block=4)).rgba
         return {"moves": bool((plain != mixed).any()), "same_samples": bool((np.sort(plain, axis=None) == np.sort(mixed, axis=None)).all())}
 
-    f = grids(spark, d).select("vec_id", images.per_file(look, "struct<moves:boolean,same_samples:boolean,code:string>", F.col("g")).alias("l"))
+    f = spread(spark, d).select("vec_id", images.per_file(look, "struct<moves:boolean,same_samples:boolean,code:string>", F.col("g")).alias("l"))
     return f.select("vec_id", "l.moves", "l.same_samples")
 
 
@@ -91,7 +96,7 @@ def visible_watermark_roundtrip(spark, d):
         back = raster.decoded(files.decode(hidden, KEY)).rgba
         return {"g": back[::4, ::4, 0].ravel().astype(int).tolist(), "covered": bool(covered), "mark": files.inspect(hidden)["watermark"]["id"]}
 
-    f = grids(spark, d).select("vec_id", images.per_file(run, "struct<g:array<int>,covered:boolean,mark:string,code:string>", F.col("g")).alias("r"))
+    f = spread(spark, d).select("vec_id", images.per_file(run, "struct<g:array<int>,covered:boolean,mark:string,code:string>", F.col("g")).alias("r"))
     return f.select("vec_id", F.posexplode("r.g").alias("idx", "v"), "r.covered", "r.mark")
 
 
