@@ -3,13 +3,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.functions.keys import layout
+from rasterloom.functions.keys import layouts
 
 
 def at(cells: Column, i: Column) -> Column:
@@ -17,27 +16,36 @@ def at(cells: Column, i: Column) -> Column:
     return F.coalesce(F.get(cells, i), F.lit(0))
 
 
-def mapped(cells: Column, f: Callable[[Column, Column], Column]) -> Column:
-    return F.transform(cells, f)
-
-
 def with_layout(frames: DataFrame, key: bytes, id_col: str, width: int, height: int, mode: str = "pixel", block: int = 0, name: str = "layout") -> DataFrame:
-    """frames with the keyed layout of each, the id being its salt: an array of source indices by slot."""
+    """frames with the keyed layout of each, the id being its salt: a struct of `order`, the source index
+    of each slot, and `back`, the slot of each source index."""
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("struct<order:array<int>,back:array<int>>")
     def keyed(ids: pa.Array) -> pa.Array:
-        return pa.array([layout(key, int(i).to_bytes(8, "big"), width, height, mode, block).astype("int32") for i in ids.to_pylist()], pa.list_(pa.int32()))
+        orders = layouts(key, [int(i).to_bytes(8, "big") for i in ids.to_pylist()], width, height, mode, block)
+        kind = pa.list_(pa.int32())
+        both = [pa.array([o.astype("int32") for o in made], kind) for made in (orders, [np.argsort(o) for o in orders])]
+        return pa.StructArray.from_arrays(both, ["order", "back"])
 
     return frames.withColumn(name, keyed(F.col(id_col)))
 
 
-def scrambled(cells: Column, order: Column) -> Column:
-    return F.transform(order, lambda source: F.get(cells, source))
+def moved(cells: Column, indices: Column) -> Column:
+    return F.transform(indices, lambda i: F.get(cells, i))
+
+
+def scrambled(cells: Column, layout: Column) -> Column:
+    return moved(cells, layout["order"])
+
+
+def restored(cells: Column, layout: Column) -> Column:
+    """What scrambled() began with."""
+    return moved(cells, layout["back"])
 
 
-def restored(cells: Column, order: Column) -> Column:
-    """What scrambled() began with: cells sorted by the source index of their slot."""
-    return F.transform(F.array_sort(F.zip_with(order, cells, lambda o, c: F.struct(o.alias("o"), c.alias("c")))), lambda s: s["c"])
+def rekeyed(cells: Column, old: Column, new: Column) -> Column:
+    """Cells under another layout, in one step: the two are joined before a cell is moved."""
+    return moved(cells, moved(old["back"], new["order"]))
 
 
 def paeth(a: Column, b: Column, c: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rasterloom.functions.keys import TRANSFORMS
-from rasterloom.operators.grid import at, filtered, listed, restored, scrambled, with_layout
+from rasterloom.operators.grid import at, filtered, listed, rekeyed, restored, scrambled, with_layout
 from rasterloom.sources.png import ADAM7
 
 SIDE = 8
@@ -70,8 +70,8 @@ def block_roundtrip(spark, d):
 @query(f"WITH {PX} SELECT vec_id, idx, v FROM px")
 def rekey_roundtrip(spark, d):
     f = with_layout(with_layout(grids(spark, d), KEY, "vec_id", SIDE, SIDE), b"new key", "vec_id", SIDE, SIDE, name="other")
-    rekeyed = scrambled(restored(scrambled(F.col("g"), F.col("layout")), F.col("layout")), F.col("other"))
-    return listed(f, restored(rekeyed, F.col("other")), "vec_id")
+    again = rekeyed(scrambled(F.col("g"), F.col("layout")), F.col("layout"), F.col("other"))
+    return listed(f, restored(again, F.col("other")), "vec_id")
 
 
 @query(f"WITH {PX} SELECT v, count(*) AS n FROM px GROUP BY v")
