@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm.best_fit import best_fit_packing
-from rasterloom.llm.common import saved
+from rasterloom.llm.common import drop_saved, drop_scratch, saved, scratch_left
 from rasterloom.llm.jaccard_join import jaccard_components
 from rasterloom.llm.language_id import COLUMNS, UNKNOWN, Model, fit, in_fold, language_of
 from rasterloom.llm.secrets import redacted, secret_spans
@@ -32,6 +32,23 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def stage(work):
+    """A stage whose scratch tables go when the next one begins: by then its result is written."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_scratch(spark, *(p for p in _used if p in scratch_left()))
+        before = set(scratch_left())
+        out = work(spark, docs, sf_dir)
+        _used[:] = [p for p in scratch_left() if p not in before]
+        return out
+
+    run.__doc__, run.__name__ = work.__doc__, work.__name__
+    return run
+
+
+_used: list[str] = []
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """(docs with a number for each row, written once, so that it is the same wherever it is read; its name)."""
     [row] = fresh(docs, "row_number")
@@ -44,6 +61,7 @@ def with_text(docs: DataFrame, text) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
+@stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told, by a model fitted on three of four folds; a null lang becomes the
     predicted one. Rejected are texts without letters, and those of which no language is as likely as all
@@ -58,6 +76,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return told.select(*(F.coalesce(c, F.col(found)["lang"]).alias(c) if c == "lang" and known else F.col(f"`{c}`") for c in docs.columns))
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of similar ones (five words, 0.8): that of the smallest id, null after all
     others. Rows of equal or null ids are rows of their own. Texts without words stay."""
@@ -66,9 +85,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     members = saved(rows.select(row, "doc_id").join(groups, row), "members")
     first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row))[row].alias(row))
     dropped = saved(members.join(first, row, "left_anti").select(row), "dropped")
-    return rows.join(dropped, row, "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    # a merge at any size: the ids grow with the documents
+    return rows.join(dropped.hint("merge"), row, "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
+@stage
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts replaced by a mark."""
     rows, row = numbered(docs)
@@ -76,9 +97,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     spans = secret_spans(rows.select(F.col(row).alias("doc_id"), "source", "text")).select(F.col("doc_id").alias(row), F.concat("base", "added").alias(own))
     spans = saved(spans.where(F.size(own) > 0), "spans")
     text = F.when(F.col(own).isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col(own)))
-    return with_text(rows.join(spans, row, "left"), text).select(*(f"`{c}`" for c in docs.columns))
+    return with_text(rows.join(spans.hint("merge"), row, "left"), text).select(*(f"`{c}`" for c in docs.columns))
 
 
+@stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as documents: a row for each time that words of a document are taken. A row that takes
     all its words keeps its text; one that takes some has their runs. Texts without words go."""
@@ -93,9 +115,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     size = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
     some = F.array_join(F.flatten(F.transform(runs_of, lambda r: F.slice(words, r["first_word"].cast("int") + 1, r["n"].cast("int")))), " ")
     text = F.when(F.col(words_of) == size, F.col("text")).otherwise(some)
-    return with_text(rows.join(taken, row), text).select(*(f"`{c}`" for c in docs.columns))
+    return with_text(rows.join(taken.hint("merge"), row), text).select(*(f"`{c}`" for c in docs.columns))
 
 
+@stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 4096 ids."""
     return best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -115,6 +138,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+    for name, work in STAGES[:-1]:
+        before, docs = docs, saved(work(spark, docs, sf_dir), name)
+        drop_saved(before)
     return STAGES[-1][1](spark, docs, sf_dir)

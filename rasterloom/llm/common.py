@@ -22,9 +22,12 @@ _left: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) is a temporary folder made and set.
+    Only where the session names none and its master is local is a temporary folder made and set; on a
+    cluster, whose machines would not share it, that is an error.
     """
     found = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
     if not found:
         found = Path(tempfile.mkdtemp(prefix="rasterloom-")).as_uri()
         spark.sparkContext.setCheckpointDir(found)
@@ -61,8 +64,21 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop_saved(*tables: DataFrame) -> None:
+    """Removes tables of saved() that nothing reads any more."""
+    for t in tables:
+        if getattr(t, "_scratch", None):
+            drop_scratch(t.sparkSession, t._scratch)
+
+
+def scratch_left() -> list[str]:
+    return list(_left)
 
 
 def give_back() -> None:

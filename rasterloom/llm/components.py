@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import saved
+from rasterloom.llm.common import drop_saved, saved
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -24,10 +24,12 @@ def components(links: DataFrame) -> DataFrame:
     edges = saved(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     while not _stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "stars")
+        old, least = edges, saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "stars")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = saved(large.distinct(), "links")
+        drop_saved(old, least)
         least = saved(large.groupBy("u").agg(F.min("v").alias("m")), "stars")
         hung = large.join(least, "u")
         edges = saved(hung.select("u", F.col("m").alias("v")).union(hung.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "links")
+        drop_saved(large, least)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

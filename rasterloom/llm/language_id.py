@@ -27,8 +27,8 @@ COLUMNS, ORDERS = 1 << 16, (1, 2, 3)
 FIT_DOCUMENTS = 2_000
 #: Most languages of a model; the matrix then has LANGUAGES x COLUMNS x 4 bytes = 64 MB at most.
 LANGUAGES = 256
-#: Numbers of the matrix that are gathered at a time, and tasks that count the sample's n-grams.
-GATHERED, COUNTING = 1 << 21, 8
+#: N-grams that are scored at a time, and tasks that count the sample's.
+GATHERED, COUNTING = 1 << 16, 8
 UNKNOWN = "und"
 
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -54,7 +54,7 @@ def columns(text: str) -> np.ndarray:
 
 @dataclass
 class Model:
-    """names: languages in order; prior: their log shares; grams: log P(column | language), transposed."""
+    """names: languages in order; prior: their log shares; grams: log P(column | language), a row a language."""
 
     names: list[str]
     prior: np.ndarray
@@ -65,7 +65,7 @@ class Model:
         names = sorted(counts)
         docs = np.array([counts[k][0] for k in names], float)
         grams = np.array([counts[k][1] for k in names], float).reshape(len(names), COLUMNS) + 0.5
-        return Model(names, np.log(docs / docs.sum()), np.ascontiguousarray(np.log(grams / grams.sum(1, keepdims=True)).T.astype(np.float32)))
+        return Model(names, np.log(docs / docs.sum()), np.log(grams / grams.sum(1, keepdims=True)).astype(np.float32))
 
     def predictions(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Of each text the likeliest language and its share of probability, tempered: the log odds of a
@@ -73,19 +73,20 @@ class Model:
         out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
         if not self.names:
             return out
-        together = max(1 << 12, GATHERED // len(self.names))
         which, held, size = [], [], 0
 
         def scored() -> None:
             n = np.array([len(c) for c in held])
             ends = np.cumsum(n)
             total = np.zeros((len(held), len(self.names)))
-            for lo in range(0, size, together):  # a long text's rows are gathered part by part
-                at = np.concatenate(held)[lo : lo + together] if len(held) > 1 else held[0][lo : lo + together]
+            every = np.concatenate(held)
+            for lo in range(0, size, GATHERED):  # a long text's rows are gathered part by part
+                at = every[lo : lo + GATHERED]
                 first = np.searchsorted(ends, lo, "right")
                 begins = np.maximum(ends - n - lo, 0)
                 some = np.flatnonzero((begins < len(at)) & (ends > lo) & (np.arange(len(n)) >= first))
-                total[some] += np.add.reduceat(self.grams[at], begins[some], axis=0, dtype=np.float64)
+                for k, row in enumerate(self.grams):
+                    total[some, k] += np.add.reduceat(row[at], begins[some], dtype=np.float64)
             odds = total + self.prior
             best = odds.argmax(1)
             share = 1 / np.exp((odds - odds.max(1, keepdims=True)) / np.sqrt(n)[:, None]).sum(1)
@@ -97,7 +98,7 @@ class Model:
                 which.append(i)
                 held.append(columns(known))
                 size += len(held[-1])
-                if size >= together:
+                if size >= GATHERED:
                     scored()
                     which, held, size = [], [], 0
         if held:
