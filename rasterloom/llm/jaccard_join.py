@@ -2,15 +2,18 @@
 
 1. Each document's set of word shingles becomes sorted hashes. Equal sets form a class, represented
    by the smallest id; from here on only representatives count.
-2. Frequencies of all shingles (by 40-bit cell) are counted over all documents. Frequent cells, at
-   most HOT_CELLS by the choice of the threshold, are broadcast.
-3. Under an order (rare before frequent, then one of several hash orders), two sets that are similar
-   enough share a token within their prefixes, and at their first shared token enough of both sets
-   is left. Pairs of one posting list that pass the size and position bounds are candidates of the
-   order. A list of a rare cell has a bounded length. Candidates of all orders are intersected: sets
-   that share a rare shingle share their first one of every order.
-4. Sets whose prefix reaches frequent cells form families: components over shared frequent prefix
-   cells. A family is compared as a whole, in blocks of bounded size, without a row for a pair.
+2. Frequencies of all shingles (by 40-bit cell) are counted over all documents, summed by task before
+   they are sent, so that a cell of very many documents is no one task's work. Frequent cells, at most
+   HOT_CELLS by the choice of the threshold, are broadcast.
+3. Under an order (rare before frequent; frequent ones by frequency or by hash, ties and rare ones by one
+   of several hashes), two sets that are similar enough share a token within their prefixes, and at their
+   first shared token enough of both sets is left. Pairs of one posting list that pass the size and
+   position bounds are candidates of the order. A list of a rare cell has a bounded length. Candidates of
+   all orders are intersected: sets that share a rare shingle share their first one of every order.
+4. Sets whose prefix reaches frequent cells have families under each order: components over frequent
+   prefix cells shared by sets of near enough sizes. Only sets of one family under every order are
+   compared: the families of all orders are intersected, too. What is left is compared as a whole, in
+   blocks of bounded size, without a row for a pair.
 5. Candidates are verified on whole sets that were sent once to each task that needs them. Tasks
    return a spanning forest of their links, and components are found over those.
 
@@ -19,6 +22,7 @@ No link between different sets is lost: every step's bound is a necessary condit
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import lean, lean_group, partitions, saved, table
+from rasterloom.llm.common import drop_saved, lean, lean_group, partitions, saved, table
 from rasterloom.llm.components import components
 from rasterloom.llm.shingles import Shingler, mixed
 
@@ -87,7 +91,8 @@ def prefix_of(hashes: np.ndarray, order: int, length: int, hot: np.ndarray, freq
     found = own[rare]
     if len(rare) < length:
         more = np.flatnonzero(often)
-        more = more[np.lexsort((keyed[more], freq[at[more]]))][: length - len(rare)]
+        by = np.lexsort((keyed[more], freq[at[more]])) if order == ORDERS[0] else np.argsort(keyed[more])
+        more = more[by][: length - len(rare)]
         found = np.concatenate([found, own[more]])
     return found, len(rare)
 
@@ -162,10 +167,17 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
 
         def flushed() -> pa.RecordBatch:
             own = np.sort(np.concatenate(held))
+            begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            times, own = np.diff(np.r_[begin, len(own)]), own[begin]
             edges = bucket_edges(own, buckets)
             full = np.flatnonzero(np.diff(edges))
-            blobs = [packed(np.diff(own[edges[k] : edges[k + 1]], prepend=np.uint64(0)), 5) for k in full]
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "cells"])
+            blobs, again = [], []
+            for k in full:
+                part = slice(edges[k], edges[k + 1])
+                blobs.append(packed(np.diff(own[part], prepend=np.uint64(0)), 5))
+                several = np.flatnonzero(times[part] > 1)  # few: where, and how often
+                again.append(packed(several, 4) + packed(times[part][several], 4))
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary()), pa.array(again, pa.binary())], ["bucket", "cells", "again"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -178,13 +190,22 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
             yield flushed()
 
     def frequent(t: pa.Table) -> pa.Table:
-        own = np.sort(np.concatenate([np.cumsum(unpacked(c.as_py(), 5), dtype=np.uint64) for c in t.column("cells")]))
+        own = np.concatenate([np.cumsum(unpacked(c.as_py(), 5), dtype=np.uint64) for c in t.column("cells")])
+        times, at = np.ones(len(own), np.int64), 0
+        for cell, again in zip(t.column("cells"), t.column("again")):
+            data = again.as_py()
+            several, n = unpacked(data[: len(data) // 2], 4).astype(np.int64), unpacked(data[len(data) // 2 :], 4)
+            times[at + several] = n
+            at += len(cell.as_py()) // 5
+        # most cells are there once and go; of those of several blocks and those counted before, the sums
+        by = np.argsort(own)
+        own, times = own[by], times[by]
         edge = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        count = np.diff(np.r_[edge, len(own)])
+        count = np.add.reduceat(times, edge)
         hot = count > HOT
         return pa.table({"cell": pa.array(own[edge[hot]].astype(np.int64)), "n": pa.array(count[hot].astype(np.int64))})
 
-    scanned = docs.select("text").mapInArrow(lean(scan), "bucket int, cells binary")
+    scanned = docs.select("text").mapInArrow(lean(scan), "bucket int, cells binary, again binary")
     counted = saved(scanned.groupBy("bucket").applyInArrow(lean_group(frequent), "cell long, n long"), "frequent")
     # the threshold is the least power of two from HOT on that keeps the broadcast below HOT_CELLS entries of 16 bytes
     sizes = counted.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().collect()
@@ -269,8 +290,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     pairs = pairs.join(by("a"), "a").join(by("b"), "b").where("ra <> rb")
     pairs = saved(pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "pairs")
     # sets whose prefix reaches frequent cells: what they share may be frequent cells only, under any order
-    reaching = full.where(F.col("all") > F.col("rare")).select("doc_id", F.col("p0").alias("cells"), "rare")
-    families = family_blocks(reaching.join(rep_of.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi"))
+    reaching = full.where(F.col("all") > F.col("rare")).select("doc_id", "n", "rare", *names[6:])
+    families = family_blocks(reaching.join(rep_of.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi"), bound)
     tasks = max(1, -(-pairs.count() // TASK_PAIRS))
     pairs = pairs.withColumn("task", F.pmod(F.xxhash64("a"), F.lit(tasks)).cast("string"))
     needs = pairs.select("task", F.explode(F.array("a", "b")).alias("doc_id")).distinct().union(families)
@@ -308,23 +329,44 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def family_blocks(members: DataFrame) -> DataFrame:
-    """task, doc_id: the blocks in which members (doc_id, cells, rare) of each family are compared.
+def families(members: DataFrame, cells: str, bound: Bound) -> DataFrame:
+    """node, label of members (doc_id, n, rare and a column of cells): components over frequent prefix cells.
 
-    Two members are of one family if frequent cells of their prefixes connect them. A family of up
-    to BLOCK members is one task; a larger one is cut into blocks, and each two of them are a task.
+    Sets that may be similar have sizes of one class or of two next to each other; a cell joins sets within
+    two such classes only, each set being listed under its own class and the one above.
     """
+    ratio = math.log(bound.den / bound.num) if bound.num < bound.den else 1.0
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [unpacked(c.as_py(), 5)[r:] for c, r in zip(batch.column(1), batch.column(2).to_pylist())]
-            ids = np.repeat(batch.column(0).to_numpy(), [len(c) for c in own])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(own).astype(np.int64) if own else ids)], ["doc_id", "cell"])
-
-    lists = saved(members.mapInArrow(listed, "doc_id long, cell long"), "hot-lists")
-    heads = saved(lists.groupBy("cell").agg(F.min("doc_id").alias("head")), "heads")
-    family = saved(components(lists.join(heads, "cell").select(F.col("doc_id").alias("u"), F.col("head").alias("v"))), "families")
-    sizes = saved(family.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "sizes")
+            own = [unpacked(c.as_py(), 5)[r:] for c, r in zip(batch.column(2), batch.column(3).to_pylist())]
+            each = [len(c) for c in own]
+            kind = np.floor(np.log(batch.column(1).to_numpy()) / ratio + 1e-9).astype(np.int64)
+            ids, kind = np.repeat(batch.column(0).to_numpy(), each), np.repeat(kind, each)
+            cell = np.concatenate(own).astype(np.int64) if own else ids
+            for up in (0, 1):
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(cell), pa.array(kind + up, pa.int64())], ["doc_id", "cell", "kind"])
+
+    lists = saved(members.select("doc_id", "n", cells, "rare").mapInArrow(listed, "doc_id long, cell long, kind long"), "hot-lists")
+    heads = saved(lists.groupBy("cell", "kind").agg(F.min("doc_id").alias("head")), "heads")
+    found = saved(components(lists.join(heads, ["cell", "kind"]).select(F.col("doc_id").alias("u"), F.col("head").alias("v"))), "families")
+    drop_saved(lists, heads)
+    return found
+
+
+def family_blocks(members: DataFrame, bound: Bound) -> DataFrame:
+    """task, doc_id: the blocks in which members (doc_id, n, rare, cells of each order) of each family are compared.
+
+    A family is what has one label under every order. One of up to BLOCK members is one task; a larger
+    one is cut into blocks, and each two of them are a task.
+    """
+    members = saved(members, "reaching")
+    labels = [families(members, f"p{k}", bound).withColumnRenamed("label", f"l{k}") for k in range(len(ORDERS))]
+    family = labels[0]
+    for more in labels[1:]:
+        family = family.join(more, "node")
+    family = saved(family.select("node", F.concat_ws(":", *(f"l{k}" for k in range(len(ORDERS)))).alias("label")), "family")
+    sizes = saved(family.groupBy("label").agg(F.count("*").alias("members")).where("members > 1").withColumn("blocks", F.ceil(F.col("members") / BLOCK)), "sizes")
     placed = family.join(sizes, "label").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")))
     # a member of block i is in the task of blocks i and j for every other j
     return placed.withColumn("j", F.explode(F.expr("sequence(0L, blocks - 1)"))).where("i <> j or blocks = 1").select(
@@ -334,3 +376,18 @@ def family_blocks(members: DataFrame) -> DataFrame:
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+#: By all pairs that share a shingle; components by steps from every document. doc_id is unique in the driver's documents.
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * k >= 85 * (a.n + b.n - k)),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT l.v, r.root FROM r JOIN l ON r.doc_id = l.u),
+c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM c LEFT JOIN n USING (doc_id)
+"""
