@@ -1,9 +1,10 @@
 """Embedding near-dedup over a robust-pruned flat graph.
 
 Equal vectors of a label form a class; classes are what is searched. A label's classes are cut into
-shards of bounded size, level by level. A cell that is not much too large is cut into blocks, and each
-two of them are a cell, which parts no pair. From a larger one pivots are drawn, and its members go to
-the cells of their two nearest pivots, so shards overlap; a pair without a common one is lost to that
+shards of bounded size. A cell that is not much too large is cut into blocks, and each two of them are a
+cell, which parts no pair. From a larger one as many pivots are drawn as it takes to make shards in one
+level, and its members go to the cells of their two nearest pivots, so shards overlap and each member is
+there twice; only cells that are still too large are cut again. A pair without a common cell is lost to that
 try. Each shard builds a graph
 (nearest neighbours, pruned robustly to a bounded degree); the adjacency lists of a class from all
 its shards are united. In each shard a greedy beam search goes from the medoid towards every member;
@@ -31,8 +32,8 @@ from rasterloom.llm.exact_topk import usable
 
 #: Classes of a shard, levels of cells.
 SHARD, LEVELS = 4096, 12
-#: By try: how many nearest pivots a member goes to (None: blocks alone). A cell has PIVOTS pivots for each.
-ROUTES, PIVOTS = (2, 4, None), 8
+#: By try: how many nearest pivots a member goes to (None: blocks alone). Least and most pivots of a cell, members that a task sorts to them.
+ROUTES, PIVOTS, SORTED = (2, 4, None), (8, 1024), 8192
 #: Degree, candidates that are pruned to it, beam of the search, slack of the pruning.
 DEGREE, NEAR, BEAM, ALPHA = 24, 64, 16, 1.2
 #: Queries of the audit, those of classes with at most FEW neighbours, and its target.
@@ -170,7 +171,7 @@ def blocks_of(n: int, shard: int) -> int:
 
 def by_pivots(n: int, shard: int, routes: int | None) -> bool:
     """Whether routes, with pivots, copies members less often than blocks do."""
-    return routes is not None and routes ** np.ceil(np.log(n / shard) / np.log(PIVOTS)) < blocks_of(n, shard) - 1
+    return routes is not None and routes < blocks_of(n, shard) - 1
 
 
 def cells_of(classes: DataFrame, shard: int, least: float, routes: int | None) -> DataFrame:
@@ -187,37 +188,42 @@ def cells_of(classes: DataFrame, shard: int, least: float, routes: int | None) -
         if sizes.isEmpty():
             break
         done.append(members.join(sizes, "cell", "left_anti"))
+        # cells of so many pivots have about half a shard of members each
+        most = F.lit(routes or 1)
+        sizes = sizes.withColumn("p", F.least(F.lit(PIVOTS[1]), F.greatest(F.lit(PIVOTS[0]) * most, F.ceil(2 * most * F.col("n") / shard))).cast("long"))
+        sizes = sizes.withColumn("parts", F.ceil(F.col("n") / SORTED).cast("long"))
         large = members.join(sizes, "cell")
-        h = F.xxhash64("vec_id", "cell", F.lit(routes or 0))
-        drawn = large.groupBy("cell", F.pmod(h, F.lit(PIVOTS * (routes or 1))).alias("_k")).agg(F.min_by("v", h).alias("_v")).groupBy("cell").agg(F.collect_list("_v").alias("pivots"))
-        pivots = saved(drawn, "pivots")  # at most PIVOTS * routes vectors a cell
-
-        def split(batches):
-            for batch in batches:
-                cells, n = np.array(batch.column("cell").to_pylist(), object), batch.column("n").to_numpy()
-                ids = batch.column("vec_id").to_numpy()
-                for cell in dict.fromkeys(cells):
-                    at = np.flatnonzero(cells == cell)
-                    size = int(n[at[0]])
-                    near = apart(np.array(batch.column("pivots")[int(at[0])].as_py()), least - 0.1) if by_pivots(size, shard, routes) else []
-                    if len(near) > 1:
-                        v = vectors_of(batch.take(pa.array(at)))
-                        if len(near) < 2 * routes:
-                            row, to = np.nonzero(within_reach(v, near, least))
-                        else:
-                            to = np.argsort(-(v @ near.T), axis=1)[:, :routes].ravel()
-                            row = np.repeat(np.arange(len(at)), routes)
-                        rows, names = at[row], [f"{cell}.{k}" for k in to.tolist()]
-                    else:
-                        blocks = blocks_of(size, shard)
-                        mixed = (ids[at].astype(np.uint64) ^ np.uint64(zlib.crc32(cell.encode()))) * np.uint64(0x9E3779B97F4A7C15)
-                        own = (mixed >> np.uint64(33)).astype(np.int64) % blocks
-                        rows = np.repeat(at, blocks - 1)
-                        names = [f"{cell}#{min(i, j)}-{max(i, j)}" for i in own.tolist() for j in range(blocks) if i != j]
-                    part = batch.select(["vec_id", "v", "times"]).take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(names), *part.columns], ["cell", "vec_id", "v", "times"])
-
-        members = saved(large.join(pivots, "cell").mapInArrow(split, "cell string, vec_id long, v array<double>, times long"), "members")
+        h = F.xxhash64("vec_id", "cell", most)
+        drawn = large.groupBy("cell", F.pmod(h, F.col("p")).alias("_k")).agg(F.min_by("v", h).alias("v"))
+        # a bounded number of pivots a cell, once to each task that sorts some of its members
+        pivots = saved(drawn.join(sizes.select("cell", "parts"), "cell").select("cell", "v", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part")), "pivots")
+        large = large.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col("parts"))).select("cell", "part", "n", "vec_id", "v", "times")
+
+        def split(some: pa.Table, drawn: pa.Table) -> pa.Table:
+            if not some.num_rows:
+                return pa.table({"cell": pa.array([], pa.string()), **{c: some.column(c) for c in ("vec_id", "v", "times")}})
+            cell, size, ids = some.column("cell")[0].as_py(), some.column("n")[0].as_py(), some.column("vec_id").to_numpy()
+            pivots = vectors_of(drawn) if drawn.num_rows else np.zeros((0, 1))
+            near = apart(pivots[np.lexsort(pivots.T)], least - 0.1) if by_pivots(size, shard, routes) else []
+            if len(near) > 1:
+                v = vectors_of(some)
+                if len(near) < 2 * routes:
+                    row, to = np.nonzero(within_reach(v, near, least))
+                else:
+                    to = np.argsort(-(v @ near.T), axis=1)[:, :routes].ravel()
+                    row = np.repeat(np.arange(len(v)), routes)
+                names = [f"{cell}.{k}" for k in to.tolist()]
+            else:
+                blocks = blocks_of(size, shard)
+                mixed = (ids.astype(np.uint64) ^ np.uint64(zlib.crc32(cell.encode()))) * np.uint64(0x9E3779B97F4A7C15)
+                own = (mixed >> np.uint64(33)).astype(np.int64) % blocks
+                row = np.repeat(np.arange(len(ids)), blocks - 1)
+                names = [f"{cell}#{min(i, j)}-{max(i, j)}" for i in own.tolist() for j in range(blocks) if i != j]
+            taken = some.select(["vec_id", "v", "times"]).take(pa.array(row))
+            return pa.table({"cell": pa.array(names, pa.string()), **{c: taken.column(c) for c in ("vec_id", "v", "times")}})
+
+        cut = large.groupBy("cell", "part").cogroup(pivots.groupBy("cell", "part")).applyInArrow(split, "cell string, vec_id long, v array<double>, times long")
+        members = saved(cut, "members")
     for part in done:
         members = members.unionByName(part)
     return members
@@ -322,8 +328,10 @@ def vector_near_dups(vectors: DataFrame, least: float = 0.93, shard: int = SHARD
     the audit's queries link with, this raises RuntimeError.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.expr("transform(embedding, x -> cast(x AS double))").alias("v"), F.col("label").cast("string").alias("label"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    good = rows.where(usable(F.col("v")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).withColumn("_n", norm).where("_n > 0 and _n < double('inf')")
+    good = rows.where(usable(F.col("v")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
+    # by the largest component first, so that no square is too large or too small
+    good = good.withColumn("_m", F.array_max(F.transform("v", F.abs))).where("_m > 0").withColumn("v", F.transform("v", lambda x: x / F.col("_m")))
+    good = good.withColumn("_n", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
     good = good.select("vec_id", F.transform("v", lambda x: x / F.col("_n")).alias("v"), F.concat_ws("|", "label", F.size("v")).alias("cell"))
     good = saved(good, "vectors")
     classes = saved(good.groupBy("cell", "v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("times")), "classes").select("cell", "vec_id", "v", "times")
@@ -348,3 +356,17 @@ def vector_near_dups(vectors: DataFrame, least: float = 0.93, shard: int = SHARD
 
 def op5_vector_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_near_dups(table(spark, sf_dir, "embeddings"))
+
+
+#: By all pairs of a label. vec_id is unique in the driver's embeddings.
+OP5_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda x: cast(x AS DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+      WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+r AS (SELECT vec_id, vec_id AS root FROM embeddings UNION SELECT l.v, r.root FROM r JOIN l ON r.vec_id = l.u),
+c AS (SELECT vec_id, min(root) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT u AS vec_id, count(*) AS n FROM l GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
