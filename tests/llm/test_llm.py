@@ -91,6 +91,29 @@ def test_jaccard_families_in_blocks(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def boilerplate(n):
+    """Texts of many sizes, a third of which have one line in common, some nearly that alone, and copies of others."""
+    rng = np.random.default_rng(9)
+    line = [f"b{i}" for i in range(40)]
+    rows = []
+    for i in range(n):
+        own = [f"u{int(x)}" for x in rng.integers(0, 4000, rng.integers(1, 120))]
+        rows.append((i, " ".join([*own, *line] if i % 3 == 0 else own)))
+    for i in range(60):
+        rows.append((n + i, " ".join([*line[: 40 - i % 4], f"x{i % 7}"])))
+        rows.append((2 * n + i, rows[i][1] + " tail"))
+    return rows
+
+
+@pytest.mark.parametrize("most", [1 << 20, 8])
+def test_jaccard_with_a_line_in_a_third_of_the_texts(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard_join, "HOT_CELLS", most)  # 8: the threshold doubles until few cells are frequent
+    monkeypatch.setattr(jaccard_join, "BLOCK", 50)
+    rows = boilerplate(600)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 4, 85, 100)
+
+
 def test_components_of_chain_and_star(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7)], "u long, v long")
     got = {r[0]: r[1] for r in components(links).collect()}
@@ -211,6 +234,13 @@ def test_vectors(spark):
     assert vector_dedup.vector_near_dups(df.where("vec_id < 0")).count() == 0
 
 
+def test_vectors_of_extreme_length_and_repeated_ids(spark):
+    rows = [(1, [1e200, 0.0], 1), (2, [1e-200, 0.0], 1), (3, [1.0, 0.1], 1), (3, [1.0, 0.1], 1), (4, [0.0, 1.0], 1), (None, [1.0, 0.0], 1), (5, [], 1)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, cell string")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vector_dedup.vector_near_dups(df).collect()), key=str)
+    assert got == sorted([(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (3, 3, 1, False), (4, 0, 4, True), (None, 0, None, True), (5, 0, 5, True)], key=str)
+
+
 def isolated_pairs(spark, n, pairs):
     """A table of n vectors far from each other, the first of which have one near vector each, and one large group."""
     rng = np.random.default_rng(8)
@@ -257,7 +287,7 @@ def test_topk(spark, scale):
     v = np.floor(rng.normal(size=(400, 40)) * scale).astype(int)
     v[5] = v[9]
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (901, [1])], "vec_id long, v array<long>")
-    got = exact_topk.exact_topk(df, df.where("vec_id % 50 = 0"), query_rows=3, candidate_rows=100).collect()
+    got = exact_topk.exact_topk(df, df.where("vec_id % 50 = 0"), wave=700, candidate_rows=100).collect()
     for q in range(0, 400, 50):
         scores = [(-int(sum(int(a) * int(b) for a, b in zip(v[q], v[i]))), i) for i in range(400) if i != q]
         assert [(-r["score"], r["vec_id"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == sorted(scores)[:5]
@@ -265,6 +295,13 @@ def test_topk(spark, scale):
     assert exact_topk.exact_topk(df.where("vec_id < 0"), df).count() == 0
 
 
+def test_topk_of_repeated_rows_and_ties(spark):
+    rows = [(0, [1, 0]), (0, [1, 0]), (1, [2, 0]), (1, [2, 0]), (2, [2, 0]), (3, []), (4, []), (5, [0, -9]), (None, [9, 9])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = sorted(map(tuple, exact_topk.exact_topk(df, df.where("vec_id in (0, 3)"), k=3).collect()))
+    assert got == [(0, 1, 1, 2), (0, 2, 1, 2), (0, 3, 2, 2), (3, 1, 4, 0)]
+
+
 def test_warc(spark):
     big = "é<html>\r\n\r\nWARC/1.1" * 100
     rows = [(1, "http://a/ b\r\n", big), (2, None, big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (None, "u", "x"), (6, "u", big), (7, "u", "z" * 2_000_000)]
