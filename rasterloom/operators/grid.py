@@ -31,7 +31,8 @@ def with_layout(frames: DataFrame, key: bytes, id_col: str, width: int, height:
 
 
 def moved(cells: Column, indices: Column) -> Column:
-    return F.transform(indices, lambda i: F.get(cells, i))
+    """cells[i] of each index. Cells are bound first: within the inner function they would be made anew for each index."""
+    return F.get(F.transform(F.array(cells), lambda bound: F.transform(indices, lambda i: F.get(bound, i))), F.lit(0))
 
 
 def scrambled(cells: Column, layout: Column) -> Column:
